@@ -1,21 +1,11 @@
 """Registry of application-level metric queries."""
 
-from pyspark.sql import functions as F
-
 from eventlens.bench import views as v
 from eventlens.bench.registry import register
-from eventlens.bench.sqltext import big, div, query, r6
+from eventlens.bench.sqltext import big, query, r6
 from eventlens.operators import metrics as M
 
 
-def app_metrics(s, d):
-    return M.app_metrics(v.tasks(s, d), v.stages(s, d), v.executor_events(s, d), v.jobs(s, d), v.applications(s, d))
-
-
-def _cols(*names):
-    return ", ".join(names)
-
-
 def _r(*names):
     return ", ".join(f"{r6(n)} AS {n}" for n in names)
 
@@ -86,7 +76,7 @@ register("dynamic_thresholds", lambda s, d: M.dynamic_thresholds(v.tasks(s, d)),
     f"{r6('quantile_cont(x, 0.95)')} AS p95 FROM th GROUP BY 1, 2", _TH))
 _LONG = " UNION ALL ".join(f"SELECT app_id, '{n}' AS metric, CAST({n} AS DOUBLE) AS value FROM m" for n in M.LONG_METRICS)
 LONG_CTE = f"ml AS ({_LONG})"
-register("metrics_long", lambda s, d: M.metrics_long(app_metrics(s, d)), query(f"SELECT app_id, metric, {r6('value')} AS value FROM ml", LONG_CTE))
+register("metrics_long", lambda s, d: M.metrics_long(M.app_metrics(v.BenchCorpus(s, d))), query(f"SELECT app_id, metric, {r6('value')} AS value FROM ml", LONG_CTE))
 _SUMS = ", ".join(f"CAST(sum({n}) AS BIGINT) AS {n}" for n in M.ROLLUP_SUMS)
 register("rollup_metrics", lambda s, d: M.rollup_metrics(v.tasks(s, d)), query(
     f"""SELECT CASE WHEN grouping(stage_id) = 1 AND grouping(executor_id) = 1 THEN 'app' WHEN grouping(executor_id) = 1 THEN 'stage'

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -15,14 +14,14 @@ def canon(df: DataFrame) -> DataFrame:
     """Doubles to six digits, small integers to BIGINT, so both engines give equal types and values."""
     out = []
     for f in df.schema:
-        c = F.col(f"`{f.name}`")
         kind = f.dataType.typeName()
         if kind == "double":
-            c = F.round(c, 6) + F.lit(0.0)
+            out.append(f"round(`{f.name}`, 6) + 0D AS `{f.name}`")
         elif kind in ("integer", "short", "byte"):
-            c = c.cast("bigint")
-        out.append(c.alias(f.name))
-    return df.select(*out)
+            out.append(f"CAST(`{f.name}` AS BIGINT) AS `{f.name}`")
+        else:
+            out.append(f"`{f.name}`")
+    return df.selectExpr(*out)
 
 
 def register(key: str, fn: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
@@ -34,4 +33,4 @@ def register(key: str, fn: Callable[[SparkSession, str], DataFrame], sql: str |
 
 
 def load() -> None:
-    from eventlens.bench import reg_metrics  # noqa: F401
+    from eventlens.bench import reg_metrics, reg_stages  # noqa: F401

@@ -8,6 +8,7 @@ oracle side start from the same rows.
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,7 +81,8 @@ STAGE_ROWS = [
     ("name", _pick("stage_id % 10", STAGE_NAMES)), ("num_tasks", "num_tasks"),
     ("parent_ids", "CASE WHEN stage_id >= 80 AND stage_id % 3 = 0 THEN ARRAY2(stage_id - 80, stage_id - 40) "
                    "WHEN stage_id >= 40 THEN ARRAY1(stage_id - 40) ELSE EMPTYLONGS() END"),
-    ("submission_ms", "CASE WHEN attempt = 0 THEN sub_ms ELSE comp_ms + 1000 END"),
+    ("submission_ms", "CASE WHEN attempt = 0 AND stage_id % 41 = 7 THEN NULL WHEN attempt = 0 THEN sub_ms ELSE comp_ms + 1000 END"),
+    ("is_submitted", "NOT (attempt = 0 AND stage_id % 41 = 7)"), ("is_completed", "NOT (attempt = 0 AND stage_id % 37 = 5)"),
     ("completion_ms", "CASE WHEN attempt = 0 AND stage_id % 37 = 5 THEN NULL WHEN attempt = 0 THEN comp_ms "
                       "ELSE comp_ms + 60000 END"),
     ("failure_reason", "CASE WHEN attempt = 0 AND stage_id % 37 = 5 THEN NULL "
@@ -112,8 +114,16 @@ def cols(pairs, duck: bool = False) -> list[str]:
     return [f"{_dialect(e, duck)} AS {n}" for n, e in pairs]
 
 
+SCHEMAS = {
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_extendedprice DOUBLE, "
+                "l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tasks_from(lineitem: DataFrame) -> DataFrame:
@@ -136,9 +146,8 @@ def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(*[F.expr(c.rsplit(" AS ", 1)[0]).alias(c.rsplit(" AS ", 1)[1]) for c in cols(STAGE_AGG)]))
     rows = base.selectExpr("*", "explode(IF(stage_id % 29 = 0, array(0L, 1L), array(0L))) AS attempt")
     out = rows.selectExpr(*cols(STAGE_ROWS))
-    return out.withColumn("rdd_names", F.array(F.lit("MapPartitionsRDD"), F.split("name", " ")[0])) \
-        .withColumn("status", F.when(F.col("completion_ms").isNull(), "SUBMITTED")
-                    .when(F.col("failure_reason").isNotNull(), "FAILED").otherwise("SUCCESS"))
+    return out.selectExpr("*", "array('MapPartitionsRDD', split(name, ' ')[0]) AS rdd_names",
+                          "CASE WHEN completion_ms IS NULL THEN 'SUBMITTED' WHEN failure_reason IS NOT NULL THEN 'FAILED' ELSE 'SUCCESS' END AS status")
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,3 +240,19 @@ applications AS (SELECT 'app-' || CAST(a AS VARCHAR) AS app_id, 'etl-' || CAST(a
   CASE WHEN a = 7 THEN NULL ELSE end_ms END AS end_ms, CASE WHEN a = 7 THEN NULL ELSE end_ms - start_ms END AS duration_ms
   FROM (SELECT o_orderkey % 8 AS a, min(epoch_ms(o_orderdate)) AS start_ms, max(epoch_ms(o_orderdate)) AS end_ms
         FROM orders GROUP BY 1))"""
+
+
+class BenchCorpus:
+    """The canonical tables of one driver directory, each built on first use."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    tasks = cached_property(lambda self: tasks(self.spark, self.sf_dir))
+    task_starts = cached_property(lambda self: task_starts(self.spark, self.sf_dir))
+    stages = cached_property(lambda self: stages(self.spark, self.sf_dir))
+    jobs = cached_property(lambda self: jobs(self.spark, self.sf_dir))
+    executor_events = cached_property(lambda self: executor_events(self.spark, self.sf_dir))
+    block_managers = cached_property(lambda self: block_managers(self.spark, self.sf_dir))
+    applications = cached_property(lambda self: applications(self.spark, self.sf_dir))
+    environment = cached_property(lambda self: environment(self.spark, self.sf_dir))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Values are split into buckets of relative width 2**-BUCKET_BITS, so a group has a
@@ -11,17 +11,16 @@ BUCKET_BITS = 7
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, value, n): partial aggregation shrinks hot groups before the shuffle,
-    and the shuffle key contains the value, so no group lands in one task."""
-    return df.groupBy(*keys, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    """(keys, bucket, value, n): partial aggregation shrinks hot groups before the
+    shuffle, and the shuffle key contains the value, so no group lands in one task.
 
-
-def _bucket(value: Column) -> Column:
-    """Order-preserving bucket of a non-negative integer: the bit length of the
-    value and the BUCKET_BITS bits after its leading one."""
-    bits = F.length(F.bin(value)).cast("bigint")
-    shift = F.greatest(bits - F.lit(BUCKET_BITS + 1), F.lit(0)).cast("int")
-    return bits * F.lit(2 ** (BUCKET_BITS + 1)) + F.call_function("shiftright", value, shift)
+    ``bucket`` keeps the order of a non-negative integer: its bit length, then the
+    BUCKET_BITS bits after the leading one.
+    """
+    bits = "CAST(length(bin(value)) AS BIGINT)"
+    bucket = f"{bits} * {2 ** (BUCKET_BITS + 1)} + shiftright(value, CAST(greatest({bits} - {BUCKET_BITS + 1}, 0L) AS INT)) AS bucket"
+    counts = df.selectExpr(*keys, f"CAST({value} AS BIGINT) AS value").groupBy(*keys, "value").count()
+    return counts.selectExpr(*keys, bucket, "value", "count AS n")
 
 
 def grouped_quantiles(counts: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
@@ -31,48 +30,29 @@ def grouped_quantiles(counts: DataFrame, keys: list[str], probs: dict[str, float
     ranks; only the distinct values of those buckets are cumulated again.  No
     task ever sees a whole group.  Values must be non-negative integers.
     """
-    fine = counts.withColumn("bucket", _bucket(F.col("value")))
-    coarse = fine.groupBy(*keys, "bucket").agg(F.sum("n").alias("bn"))
-    per_group = Window.partitionBy(*keys)
-    before = F.sum("bn").over(per_group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    coarse = coarse.select(
+    by = ", ".join(keys)
+    coarse = counts.groupBy(*keys, "bucket").agg({"n": "sum"}).withColumnRenamed("sum(n)", "bn").selectExpr(
         *keys, "bucket", "bn",
-        F.coalesce(before, F.lit(0)).alias("before"),
-        F.sum("bn").over(per_group).alias("total"),
-    )
-    wanted = []
-    for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("total") - 1).cast("double")
-        low = F.floor(pos)
-        for side, rank in (("lo", low), ("hi", F.least(low + 1, F.col("total") - 1))):
-            wanted.append(F.struct(
-                F.lit(name).alias("name"), F.lit(side).alias("side"), rank.alias("rank"),
-                (pos - low.cast("double")).alias("frac"),
-            ))
-    hit = F.filter(
-        F.array(*wanted),
-        lambda t: (t["rank"] >= F.col("before")) & (t["rank"] < F.col("before") + F.col("bn")),
-    )
-    targets = coarse.select(*keys, "bucket", "before", hit.alias("targets")).filter(F.size("targets") > 0)
-    in_bucket = Window.partitionBy(*keys, "bucket").orderBy("value")
-    picked = (
-        fine.join(targets, [*keys, "bucket"])
-        .withColumn("upto", F.col("before") + F.sum("n").over(in_bucket))
-        .select(*keys, "value", "n", "upto", F.explode("targets").alias("t"))
-        .filter((F.col("t.rank") < F.col("upto")) & (F.col("t.rank") >= F.col("upto") - F.col("n")))
-    )
-    aggs = []
-    for name in probs:
-        is_name = F.col("t.name") == name
-        lo = F.max(F.when(is_name & (F.col("t.side") == "lo"), F.col("value"))).cast("double")
-        hi = F.max(F.when(is_name & (F.col("t.side") == "hi"), F.col("value"))).cast("double")
-        frac = F.max(F.when(is_name, F.col("t.frac")))
-        aggs.append((lo + (hi - lo) * frac).alias(name))
-    return picked.groupBy(*keys).agg(*aggs)
-
-
-def guarded_corr(x: Column, y: Column) -> Column:
+        f"coalesce(sum(bn) OVER (PARTITION BY {by} ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before",
+        f"sum(bn) OVER (PARTITION BY {by}) AS total")
+    wanted = ", ".join(
+        f"named_struct('name', '{name}', 'side', '{side}', 'rank', {rank}, 'frac', {p}D * (total - 1) - floor({p}D * (total - 1)))"
+        for name, p in probs.items()
+        for side, rank in (("lo", f"floor({p}D * (total - 1))"), ("hi", f"least(floor({p}D * (total - 1)) + 1, total - 1)")))
+    targets = coarse.selectExpr(
+        *keys, "bucket", "before", f"filter(array({wanted}), t -> t.rank >= before AND t.rank < before + bn) AS targets"
+    ).filter("size(targets) > 0")
+    picked = counts.join(targets, [*keys, "bucket"]).selectExpr(
+        *keys, "value", "n", f"before + sum(n) OVER (PARTITION BY {by}, bucket ORDER BY value) AS upto", "targets"
+    ).selectExpr(*keys, "value", "explode(filter(targets, t -> t.rank < upto AND t.rank >= upto - n)) AS t").selectExpr(
+        *keys, "CAST(value AS DOUBLE) AS value", "t.name", "t.side", "t.frac")
+    lo, hi, frac = ("max({0}) FILTER (WHERE name = '{{n}}'{1})".format(*x) for x in (
+        ("value", " AND side = 'lo'"), ("value", " AND side = 'hi'"), ("frac", "")))
+    return picked.groupBy(*keys).agg(*[
+        F.expr(f"{lo.format(n=n)} + ({hi.format(n=n)} - {lo.format(n=n)}) * {frac.format(n=n)} AS {n}") for n in probs])
+
+
+def guarded_corr(x: str, y: str) -> str:
     """Pearson correlation, 0 for a constant column (plain corr would divide by zero)."""
-    x, y = x.cast("double"), y.cast("double")
-    spread = F.stddev_samp(x) * F.stddev_samp(y)
-    return F.coalesce(F.try_divide(F.covar_samp(x, y), spread), F.lit(0.0))
+    x, y = f"CAST({x} AS DOUBLE)", f"CAST({y} AS DOUBLE)"
+    return f"coalesce(try_divide(covar_samp({x}, {y}), stddev_samp({x}) * stddev_samp({y})), 0D)"

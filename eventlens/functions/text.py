@@ -1,30 +1,30 @@
-"""Column -> Column helpers: number formatting, severities and failure classes.
+"""Spark SQL expression builders: formatting, severities and failure classes.
 
-Everything here is a plain Spark expression, so it stays inside whole-stage
-code generation.  ``format_number`` is given an explicit pattern because its
-half-even rounding agrees with the printf of other tools, while
-``format_string`` rounds half up.
+Every helper takes SQL expressions as text and returns one, so an operator is a
+handful of ``selectExpr`` calls (one JVM call each) and the whole computation
+stays in generated code.  ``col(fn(...))`` turns any of them into a Column.
+
+``format_number`` is given an explicit pattern because its half-even rounding
+agrees with the printf of other tools; ``format_string`` rounds half up.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Units, severities and failure patterns -----------------------
+# Units, severities, failure patterns, stage name patterns ------
 BYTE_UNITS = ("B", "KB", "MB", "GB", "TB", "PB")
 
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW")
 
 FAILURE_PATTERNS = (
-    ("OOM", r"OutOfMemoryError|Java heap space|GC overhead limit exceeded"),
-    ("FetchFailed", r"FetchFailed|ShuffleFetchFailed"),
-    ("ExecutorLost", r"ExecutorLostFailure|Executor .* lost"),
-    ("NetworkIssue", r"Connection refused|Connection reset|IOException"),
-    ("DiskFull", r"No space left on device|Disk full"),
-    ("Timeout", r"TimeoutException|Timeout waiting"),
+    ("OOM", "OutOfMemoryError|Java heap space|GC overhead limit exceeded"),
+    ("FetchFailed", "FetchFailed|ShuffleFetchFailed"),
+    ("ExecutorLost", "ExecutorLostFailure|Executor .* lost"),
+    ("NetworkIssue", "Connection refused|Connection reset|IOException"),
+    ("DiskFull", "No space left on device|Disk full"),
+    ("Timeout", "TimeoutException|Timeout waiting"),
 )
 
 EXECUTOR_FAILURE_WORDS = ("lost", "failed", "killed", "error")
@@ -41,122 +41,106 @@ WIDE_TYPES = ("join", "groupBy", "shuffle", "wide")
 # -----------------------------------------------------------------------------
 
 
-def num(c: Column, digits: int) -> Column:
+def col(expression: str) -> Column:
+    return F.expr(expression)
+
+
+def lit(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def num(x: str, digits: int) -> str:
     """Number as text with a fixed count of decimals and no grouping."""
-    return F.format_number(c.cast("double"), "0" if digits == 0 else "0." + "0" * digits)
+    pattern = "0" if digits == 0 else "0." + "0" * digits
+    return f"format_number(CAST({x} AS DOUBLE), '{pattern}')"
 
 
-def percent(ratio: Column, digits: int = 1) -> Column:
-    return F.concat(num(ratio.cast("double") * F.lit(100.0), digits), F.lit("%"))
+def percent(x: str, digits: int = 1) -> str:
+    return f"concat({num(f'CAST({x} AS DOUBLE) * 100D', digits)}, '%')"
 
 
-def times(ratio: Column, digits: int = 1) -> Column:
-    return F.concat(num(ratio, digits), F.lit("x"))
+def times(x: str, digits: int = 1) -> str:
+    return f"concat({num(x, digits)}, 'x')"
 
 
-def format_bytes(c: Column, short_zero: bool = False) -> Column:
+def format_bytes(x: str, short_zero: bool = False) -> str:
     """Bytes in base 1024 with two decimals, from B to PB."""
-    value = c.cast("double")
-    out = F.concat(num(value / F.lit(1024.0**5), 2), F.lit(" PB"))
-    for power in range(4, -1, -1):
-        scaled = value / F.lit(1024.0**power)
-        out = F.when(scaled < 1024.0, F.concat(num(scaled, 2), F.lit(" " + BYTE_UNITS[power]))).otherwise(out)
-    return F.when(value == 0.0, F.lit("0 B")).otherwise(out) if short_zero else out
+    v = f"CAST({x} AS DOUBLE)"
+    zero = f"WHEN {v} = 0 THEN '0 B' " if short_zero else ""
+    arms = " ".join(f"WHEN {v} < {1024.0 ** (k + 1)}D THEN concat({num(f'{v} / {1024.0 ** k}D', 2)}, ' {BYTE_UNITS[k]}')" for k in range(5))
+    return f"CASE {zero}{arms} ELSE concat({num(f'{v} / {1024.0 ** 5}D', 2)}, ' PB') END"
 
 
-def format_duration(c: Column, seconds_in_hours: bool = False) -> Column:
+def format_duration(x: str, seconds_in_hours: bool = False) -> str:
     """Milliseconds as ``ms``, ``s``, ``m s`` or ``h m`` (optionally ``h m s``)."""
-    ms = c.cast("double")
-    whole = (ms / 1000.0).cast("bigint")
-    second = (whole % 60).cast("string")
-    minute = ((whole / 60).cast("bigint") % 60).cast("string")
-    hours = F.concat((whole / 3600).cast("bigint").cast("string"), F.lit("h "), minute, F.lit("m"))
-    if seconds_in_hours:
-        hours = F.concat(hours, F.lit(" "), second, F.lit("s"))
-    return (
-        F.when(ms < 1000, F.concat(num(ms, 0), F.lit("ms")))
-        .when(ms < 60000, F.concat(num(ms / 1000.0, 1), F.lit("s")))
-        .when(ms < 3600000, F.concat((whole / 60).cast("bigint").cast("string"), F.lit("m "), second, F.lit("s")))
-        .otherwise(hours)
-    )
-
-
-def severity_rank(severity: Column) -> Column:
+    ms = f"CAST({x} AS DOUBLE)"
+    whole = f"CAST({ms} / 1000D AS BIGINT)"
+    tail = f", ' ', {whole} % 60, 's'" if seconds_in_hours else ""
+    return (f"CASE WHEN {ms} < 1000 THEN concat({num(ms, 0)}, 'ms') WHEN {ms} < 60000 THEN concat({num(f'{ms} / 1000D', 1)}, 's') "
+            f"WHEN {ms} < 3600000 THEN concat({whole} div 60, 'm ', {whole} % 60, 's') "
+            f"ELSE concat({whole} div 3600, 'h ', ({whole} div 60) % 60, 'm'{tail}) END")
+
+
+def severity_rank(x: str) -> str:
     """CRITICAL 0, HIGH 1, MEDIUM 2, LOW 3, anything else 4."""
-    ladder = reduce(
-        lambda acc, pair: acc.when(severity == pair[1], F.lit(pair[0])),
-        list(enumerate(SEVERITIES))[1:],
-        F.when(severity == SEVERITIES[0], F.lit(0)),
-    )
-    return ladder.otherwise(F.lit(4))
+    arms = " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(SEVERITIES))
+    return f"CASE {x} {arms} ELSE 4 END"
 
 
-def ladder(value: Column, steps: list[tuple[float, str]], default: str | None) -> Column:
-    """First step whose bound is exceeded; steps in falling order."""
-    first, *rest = steps
-    out = F.when(value > first[0], F.lit(first[1]))
-    for bound, label in rest:
-        out = out.when(value > bound, F.lit(label))
-    return out.otherwise(F.lit(default))
+def ladder(x: str, steps: list[tuple[float, str]], default: str) -> str:
+    """Label of the first bound that is exceeded; bounds in falling order."""
+    arms = " ".join(f"WHEN {x} > {bound}D THEN '{label}'" for bound, label in steps)
+    return f"CASE {arms} ELSE '{default}' END"
 
 
-def correlation_label(c: Column) -> Column:
-    return ladder(c, [(0.7, "STRONG"), (0.4, "MODERATE")], "WEAK")
+def correlation_label(x: str) -> str:
+    return ladder(x, [(0.7, "STRONG"), (0.4, "MODERATE")], "WEAK")
 
 
-def shuffle_correlation_label(c: Column) -> Column:
-    return ladder(c, [(0.5, "HIGH"), (0.3, "MODERATE")], "LOW")
+def shuffle_correlation_label(x: str) -> str:
+    return ladder(x, [(0.5, "HIGH"), (0.3, "MODERATE")], "LOW")
 
 
-def classify_failure(text: Column) -> Column:
+def classify_failure(x: str) -> str:
     """First matching failure class in declaration order, else UNKNOWN."""
-    out = F.lit("UNKNOWN")
-    for name, pattern in reversed(FAILURE_PATTERNS):
-        out = F.when(text.rlike("(?i)" + pattern), F.lit(name)).otherwise(out)
-    return out
+    arms = " ".join(f"WHEN {x} RLIKE '(?i){p}' THEN '{n}'" for n, p in FAILURE_PATTERNS)
+    return f"CASE {arms} ELSE 'UNKNOWN' END"
 
 
-def matches_failure(text: Column, name: str) -> Column:
-    return F.coalesce(text.rlike("(?i)" + dict(FAILURE_PATTERNS)[name]), F.lit(False))
+def matches_failure(x: str, name: str) -> str:
+    return f"coalesce({x} RLIKE '(?i){dict(FAILURE_PATTERNS)[name]}', false)"
 
 
-def is_executor_failure(reason: Column) -> Column:
-    low = F.lower(reason)
-    hits = [F.contains(low, F.lit(word)) for word in EXECUTOR_FAILURE_WORDS]
-    return F.coalesce(reduce(lambda a, b: a | b, hits), F.lit(False))
+def is_executor_failure(x: str) -> str:
+    return "coalesce(" + " OR ".join(f"contains(lower({x}), '{w}')" for w in EXECUTOR_FAILURE_WORDS) + ", false)"
 
 
-def transformation(stage_name: Column) -> Column:
+def transformation(stage_name: str) -> str:
     """struct(type, operation): the last matching type and its first matching pattern."""
-    low = F.lower(F.coalesce(stage_name, F.lit("")))
-    out = F.struct(F.lit("unknown").alias("type"), F.lit("unknown").alias("operation"))
-    for kind, patterns in TRANSFORMATIONS:
-        for pattern in reversed(patterns):
-            hit = F.struct(F.lit(kind).alias("type"), F.lit(pattern).alias("operation"))
-            out = F.when(F.contains(low, F.lit(pattern.lower())), hit).otherwise(out)
-    return out
+    low = f"lower(coalesce({stage_name}, ''))"
+    arms = " ".join(f"WHEN contains({low}, '{p.lower()}') THEN named_struct('type', '{kind}', 'operation', '{p}')"
+                    for kind, patterns in reversed(TRANSFORMATIONS) for p in patterns)
+    return f"CASE {arms} ELSE named_struct('type', 'unknown', 'operation', 'unknown') END"
 
 
-def ratio(a: Column, b: Column) -> Column:
+def ratio(a: str, b: str) -> str:
     """a / b as a double, 0 where b is 0 or either is missing."""
-    return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+    return f"coalesce(try_divide(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 0D)"
 
 
-def named_links(*links: tuple[Column, Column]) -> Column:
-    """Ordered array of the structs whose condition holds."""
-    return F.filter(F.array(*[F.when(cond, link) for cond, link in links]), lambda x: x.isNotNull())
+def links(*pairs: tuple[str, str]) -> str:
+    """Ordered array of the values whose condition holds."""
+    return "filter(array(" + ", ".join(f"CASE WHEN {cond} THEN {value} END" for cond, value in pairs) + "), x -> x IS NOT NULL)"
 
 
-def str_map(*pairs: tuple[str, Column]) -> Column:
-    """MAP<STRING,STRING> in the given key order."""
-    flat: list[Column] = []
-    for key, value in pairs:
-        flat += [F.lit(key), value.cast("string")]
-    return F.create_map(*flat)
+def str_map(**pairs: str) -> str:
+    """MAP<STRING,STRING> in the given key order; values are expressions."""
+    if not pairs:
+        return "CAST(map() AS MAP<STRING,STRING>)"
+    return "map(" + ", ".join(f"'{k.replace('__', ' ')}', CAST({v} AS STRING)" for k, v in pairs.items()) + ")"
 
 
-def map_text(m: Column) -> Column:
-    """A map as one line ``k=v; k=v`` in key order of construction."""
-    return F.array_join(
-        F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), "; "
-    )
+def map_text(m: str) -> str:
+    """A map as one line ``k=v; k=v``, in the order in which it was built."""
+    return f"array_join(transform(map_entries({m}), e -> concat(e.key, '=', coalesce(e.value, ''))), '; ')"

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.functions.stats import grouped_quantiles, guarded_corr, value_counts
@@ -21,108 +21,98 @@ PERCENTILES = {"p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95,
 # Bounds of the four GC pressure levels
 GC_LEVELS = [(0.4, "CRITICAL"), (0.2, "HIGH"), (0.1, "MEDIUM")]
 
-
-def _sum(name: str) -> Column:
-    return F.coalesce(F.sum(name), F.lit(0))
-
-
-def _positive(name: str) -> Column:
-    return F.count_if(F.col(name) > 0)
-
-
-def _valid() -> Column:
-    """Only tasks with a positive duration count in duration statistics."""
-    return F.when(F.col("duration_ms") > 0, F.col("duration_ms"))
-
-
-def _basic_aggs() -> dict[str, Column]:
-    d = _valid()
+# Only tasks with a positive duration count in duration statistics.
+VALID = "CASE WHEN duration_ms > 0 THEN duration_ms END"
+
+
+def _sums(**names: str) -> dict[str, str]:
+    return {out: f"coalesce(sum({src}), 0)" for out, src in names.items()}
+
+
+def _positive(**names: str) -> dict[str, str]:
+    return {out: f"count_if({src} > 0)" for out, src in names.items()}
+
+
+AGGREGATES: dict[str, dict[str, str]] = {
+    "task": {"total_tasks": f"count({VALID})", "mean_task_duration": f"coalesce(avg({VALID}), 0D)",
+             "std_task_duration": f"coalesce(stddev_samp({VALID}), 0D)",
+             "min_task_duration": f"min({VALID})", "max_task_duration": f"max({VALID})"},
+    "cpu": {"cpu_time": "coalesce(sum(CAST(cpu_ns AS DOUBLE)), 0D)"}
+           | _sums(total_run_time_ms="run_ms", total_deserialize_time_ms="deser_ms"),
+    "heap": {"avg_heap": "CAST(coalesce(avg(heap_bytes), 0) AS BIGINT)", "max_heap": "max(heap_bytes)",
+             "avg_offheap": "CAST(coalesce(avg(offheap_bytes), 0) AS BIGINT)", "max_offheap": "max(offheap_bytes)"}
+            | _sums(total_heap="heap_bytes", total_offheap="offheap_bytes"),
+    "gc": _sums(total_gc_time_ms="gc_ms", minor_gc_time_ms="minor_gc_ms", major_gc_time_ms="major_gc_ms", total_run_time_ms="run_ms"),
+    "spill": _sums(memory_bytes_spilled="mem_spill_bytes", disk_bytes_spilled="disk_spill_bytes", input_bytes="in_bytes")
+             | _positive(tasks_with_spill="mem_spill_bytes"),
+    "shuffle": _sums(shuffle_read_bytes="sh_read_bytes", shuffle_write_bytes="sh_write_bytes", shuffle_time_ms="fetch_wait_ms",
+                     total_run_time_ms="run_ms", shuffle_write_time_ms="sh_write_time", shuffle_records_written="sh_write_records")
+               | _positive(tasks_with_shuffle_read="sh_read_bytes", tasks_with_shuffle_write="sh_write_bytes"),
+    "io": _sums(input_bytes="in_bytes", output_bytes="out_bytes", input_records="in_records", output_records="out_records")
+          | _positive(tasks_with_input="in_bytes", tasks_with_output="out_bytes"),
+    "corr": {"gc_vs_duration": guarded_corr("gc_ms", "duration_ms"), "spill_vs_gc": guarded_corr("mem_spill_bytes", "gc_ms"),
+             "shuffle_vs_duration": guarded_corr("fetch_wait_ms", "duration_ms")},
+}
+
+CPU_MS = {"ns": "cpu_time / 1e6D", "raw": "cpu_time"}
+
+
+def _derived(cpu_unit: str) -> dict[str, dict[str, str]]:
+    """Columns computed from the aggregates of the same group."""
+    cpu = CPU_MS[cpu_unit]
+    eff = ratio(cpu, "total_run_time_ms")
+    wait = f"CASE WHEN total_run_time_ms > 0 THEN 1D - {eff} ELSE 0D END"
+    gc = ratio("total_gc_time_ms", "total_run_time_ms")
+    shuffle = ratio("shuffle_time_ms", "total_run_time_ms")
+    written = ratio("shuffle_write_time_ms", "total_run_time_ms")
+    cv = ratio("std_task_duration", "mean_task_duration")
     return {
-        "total_tasks": F.count(d), "mean_task_duration": F.coalesce(F.avg(d), F.lit(0.0)),
-        "std_task_duration": F.coalesce(F.stddev_samp(d), F.lit(0.0)),
-        "min_task_duration": F.min(d), "max_task_duration": F.max(d),
+        "task": {"duration_range": "max_task_duration - min_task_duration", "task_skew_ratio": cv, "coefficient_of_variation": cv},
+        "cpu": {"cpu_efficiency": eff, "cpu_utilization_percentage": f"{eff} * 100D", "cpu_wait_ratio": wait,
+                "cpu_wait_percentage": f"({wait}) * 100D", "total_cpu_time_ms": f"CAST({cpu} AS BIGINT)",
+                "deserialize_overhead_percentage": ratio("total_deserialize_time_ms", "total_run_time_ms") + " * 100D"},
+        "gc": {"gc_overhead_ratio": gc, "gc_overhead_percentage": f"{gc} * 100D", "gc_pressure_level": ladder(gc, GC_LEVELS, "LOW")},
+        "spill": {"total_spilled": "memory_bytes_spilled + disk_bytes_spilled",
+                  "spill_ratio": ratio("memory_bytes_spilled", "input_bytes")},
+        "shuffle": {"total_shuffle_bytes": "shuffle_read_bytes + shuffle_write_bytes", "shuffle_ratio": shuffle,
+                    "shuffle_time_percentage": f"{shuffle} * 100D", "shuffle_time_ratio": written,
+                    "shuffle_write_percentage": f"{written} * 100D", "shuffle_efficiency": f"1D - least({shuffle}, 1D)"},
     }
 
 
-def _aggs() -> dict[str, dict[str, Column]]:
-    return {
-        "task": _basic_aggs(),
-        "cpu": {"cpu_time": F.coalesce(F.sum(F.col("cpu_ns").cast("double")), F.lit(0.0)),
-                "total_run_time_ms": _sum("run_ms"), "total_deserialize_time_ms": _sum("deser_ms")},
-        "heap": {"avg_heap": F.coalesce(F.avg("heap_bytes"), F.lit(0.0)), "max_heap": F.max("heap_bytes"),
-                 "total_heap": _sum("heap_bytes"), "avg_offheap": F.coalesce(F.avg("offheap_bytes"), F.lit(0.0)),
-                 "max_offheap": F.max("offheap_bytes"), "total_offheap": _sum("offheap_bytes")},
-        "gc": {"total_gc_time_ms": _sum("gc_ms"), "minor_gc_time_ms": _sum("minor_gc_ms"),
-               "major_gc_time_ms": _sum("major_gc_ms"), "total_run_time_ms": _sum("run_ms")},
-        "spill": {"memory_bytes_spilled": _sum("mem_spill_bytes"), "disk_bytes_spilled": _sum("disk_spill_bytes"),
-                  "tasks_with_spill": _positive("mem_spill_bytes"), "input_bytes": _sum("in_bytes")},
-        "shuffle": {"shuffle_read_bytes": _sum("sh_read_bytes"), "shuffle_write_bytes": _sum("sh_write_bytes"),
-                    "shuffle_time_ms": _sum("fetch_wait_ms"), "tasks_with_shuffle_read": _positive("sh_read_bytes"),
-                    "tasks_with_shuffle_write": _positive("sh_write_bytes"), "total_run_time_ms": _sum("run_ms"),
-                    "shuffle_write_time_ms": _sum("sh_write_time"), "shuffle_records_written": _sum("sh_write_records")},
-        "io": {"input_bytes": _sum("in_bytes"), "output_bytes": _sum("out_bytes"), "input_records": _sum("in_records"),
-               "output_records": _sum("out_records"), "tasks_with_input": _positive("in_bytes"),
-               "tasks_with_output": _positive("out_bytes")},
-        "corr": {"gc_vs_duration": guarded_corr(F.col("gc_ms"), F.col("duration_ms")),
-                 "spill_vs_gc": guarded_corr(F.col("mem_spill_bytes"), F.col("gc_ms")),
-                 "shuffle_vs_duration": guarded_corr(F.col("fetch_wait_ms"), F.col("duration_ms"))},
-    }
-
-
-def _derived(cpu_unit: str = "ns") -> dict[str, dict[str, Column]]:
-    """Columns computed from the aggregates of the same group, in order."""
-    c = F.col
-    cpu_ms = c("cpu_time") / 1e6 if cpu_unit == "ns" else c("cpu_time")
-    eff = ratio(cpu_ms, c("total_run_time_ms"))
-    wait = F.when(c("total_run_time_ms") > 0, F.lit(1.0) - eff).otherwise(0.0)
-    gc = ratio(c("total_gc_time_ms"), c("total_run_time_ms"))
-    shuffle = ratio(c("shuffle_time_ms"), c("total_run_time_ms"))
-    written = ratio(c("shuffle_write_time_ms"), c("total_run_time_ms"))
-    cv = ratio(c("std_task_duration"), c("mean_task_duration"))
-    return {
-        "task": {"duration_range": c("max_task_duration") - c("min_task_duration"), "task_skew_ratio": cv,
-                 "coefficient_of_variation": cv},
-        "cpu": {"cpu_efficiency": eff, "cpu_utilization_percentage": eff * 100, "cpu_wait_ratio": wait,
-                "cpu_wait_percentage": wait * 100, "total_cpu_time_ms": cpu_ms.cast("bigint"),
-                "deserialize_overhead_percentage": ratio(c("total_deserialize_time_ms"), c("total_run_time_ms")) * 100},
-        "heap": {"avg_heap": c("avg_heap").cast("bigint"), "avg_offheap": c("avg_offheap").cast("bigint")},
-        "gc": {"gc_overhead_ratio": gc, "gc_overhead_percentage": gc * 100, "gc_pressure_level": ladder(gc, GC_LEVELS, "LOW")},
-        "spill": {"total_spilled": c("memory_bytes_spilled") + c("disk_bytes_spilled"),
-                  "spill_ratio": ratio(c("memory_bytes_spilled"), c("input_bytes"))},
-        "shuffle": {"total_shuffle_bytes": c("shuffle_read_bytes") + c("shuffle_write_bytes"), "shuffle_ratio": shuffle,
-                    "shuffle_time_percentage": shuffle * 100, "shuffle_time_ratio": written,
-                    "shuffle_write_percentage": written * 100, "shuffle_efficiency": F.lit(1.0) - F.least(shuffle, F.lit(1.0))},
-        "io": {}, "corr": {},
-    }
+def _agg(df: DataFrame, keys: list[str], aggs: dict[str, str]) -> DataFrame:
+    return df.groupBy(*keys).agg(*[F.expr(f"{e} AS {n}") for n, e in aggs.items()])
 
 
 def metric_group(tasks: DataFrame, *groups: str, keys: tuple[str, ...] = ("app_id",), cpu_unit: str = "ns") -> DataFrame:
     """One aggregation for the named metric groups; other task columns are not read."""
-    aggs: dict[str, Column] = {}
-    for g in groups:
-        aggs.update(_aggs()[g])
-    out = tasks.groupBy(*keys).agg(*[col.alias(name) for name, col in aggs.items()])
+    aggs: dict[str, str] = {}
+    more: dict[str, str] = {}
     for g in groups:
-        out = out.withColumns(_derived(cpu_unit)[g]) if _derived(cpu_unit)[g] else out
-    return out.drop("cpu_time")
+        aggs |= AGGREGATES[g]
+        more |= _derived(cpu_unit).get(g, {})
+    keep = [n for n in aggs if n != "cpu_time"]
+    return _agg(tasks, list(keys), aggs).selectExpr(*keys, *keep, *[f"{e} AS {n}" for n, e in more.items()])
+
+
+def duration_counts(tasks: DataFrame, keys: tuple[str, ...] = ("app_id",)) -> DataFrame:
+    return value_counts(tasks.filter("duration_ms > 0"), list(keys), "duration_ms")
 
 
 def duration_quantiles(tasks: DataFrame, keys: tuple[str, ...] = ("app_id",), probs: dict[str, float] | None = None) -> DataFrame:
-    counts = value_counts(tasks.filter(F.col("duration_ms") > 0), list(keys), "duration_ms")
-    return grouped_quantiles(counts, list(keys), probs or PERCENTILES)
+    return grouped_quantiles(duration_counts(tasks, keys), list(keys), probs or PERCENTILES)
 
 
 def approximate_quantiles(tasks: DataFrame, accuracy: int = 10000) -> DataFrame:
     """Sketch-based variant of ``task_percentiles`` in a single aggregation."""
-    arr = F.percentile_approx(_valid(), [float(p) for p in PERCENTILES.values()], accuracy)
-    out = tasks.groupBy("app_id").agg(arr.alias("q"))
-    return out.select("app_id", *[F.col("q")[i].cast("double").alias(n) for i, n in enumerate(PERCENTILES)])
+    probs = ", ".join(str(p) for p in PERCENTILES.values())
+    out = _agg(tasks, ["app_id"], {"q": f"percentile_approx({VALID}, array({probs}), {accuracy})"})
+    return out.selectExpr("app_id", *[f"CAST(q[{i}] AS DOUBLE) AS {n}" for i, n in enumerate(PERCENTILES)])
 
 
 def task_stats(tasks: DataFrame) -> DataFrame:
     """Count, mean, median, sample deviation, minimum, maximum and range of task durations."""
-    base = tasks.groupBy("app_id").agg(*[c.alias(n) for n, c in _basic_aggs().items()])
-    base = base.withColumn("duration_range", F.col("max_task_duration") - F.col("min_task_duration"))
+    base = _agg(tasks, ["app_id"], AGGREGATES["task"]).selectExpr("*", "max_task_duration - min_task_duration AS duration_range")
     return base.join(duration_quantiles(tasks, probs={"median_task_duration": 0.5}), "app_id", "left")
 
 
@@ -131,76 +121,73 @@ def task_percentiles(tasks: DataFrame) -> DataFrame:
 
 
 def task_skew_ratio(tasks: DataFrame) -> DataFrame:
-    out = metric_group(tasks, "task")
-    return out.select("app_id", "task_skew_ratio", "coefficient_of_variation")
+    """Coefficient of variation of task durations; 0 for a single task."""
+    return metric_group(tasks, "task").select("app_id", "task_skew_ratio", "coefficient_of_variation")
+
+
+def _stragglers(counts: DataFrame, fences: DataFrame) -> DataFrame:
+    """Tasks above the fence, counted on the (duration, count) table instead of the tasks."""
+    out = _agg(counts.join(fences, "app_id"), ["app_id"], {
+        "outlier_threshold": "max(outlier_threshold)", "total": "sum(n)",
+        "stragglers_count": "coalesce(sum(n) FILTER (WHERE value > outlier_threshold), 0)"})
+    return out.selectExpr("app_id", "outlier_threshold", "stragglers_count",
+                          ratio("stragglers_count", "total") + " * 100D AS stragglers_percentage")
 
 
 def stragglers(tasks: DataFrame) -> DataFrame:
-    """Tasks beyond p75 + 1.5 IQR, counted on the (duration, count) table instead of the tasks."""
-    counts = value_counts(tasks.filter(F.col("duration_ms") > 0), ["app_id"], "duration_ms")
-    fence = grouped_quantiles(counts, ["app_id"], {"p25": 0.25, "p75": 0.75}).select(
-        "app_id", (F.col("p75") + F.lit(1.5) * (F.col("p75") - F.col("p25"))).alias("outlier_threshold"))
-    above = F.coalesce(F.sum(F.when(F.col("value") > F.col("outlier_threshold"), F.col("n"))), F.lit(0))
-    out = counts.join(fence, "app_id").groupBy("app_id").agg(
-        F.max("outlier_threshold").alias("outlier_threshold"), above.alias("stragglers_count"), F.sum("n").alias("total"))
-    return out.select("app_id", "outlier_threshold", "stragglers_count",
-                      (ratio(F.col("stragglers_count"), F.col("total")) * 100).alias("stragglers_percentage"))
+    """Tasks beyond p75 + 1.5 IQR: threshold, count and share."""
+    counts = duration_counts(tasks)
+    fence = grouped_quantiles(counts, ["app_id"], {"p25": 0.25, "p75": 0.75})
+    return _stragglers(counts, fence.selectExpr("app_id", "p75 + 1.5D * (p75 - p25) AS outlier_threshold"))
 
 
 def executor_task_counts(tasks: DataFrame) -> DataFrame:
     """(app_id, executor_id, tasks)."""
-    return tasks.filter(F.col("executor_id").isNotNull()).groupBy("app_id", "executor_id").agg(F.count(F.lit(1)).alias("tasks"))
+    return _agg(tasks.filter("executor_id IS NOT NULL"), ["app_id", "executor_id"], {"tasks": "count(1)"})
 
 
 def executor_imbalance(tasks: DataFrame) -> DataFrame:
-    c = F.col("tasks").cast("double")
-    out = executor_task_counts(tasks).groupBy("app_id").agg(
-        F.count(F.lit(1)).alias("total_executors"), F.stddev_pop(c).alias("sd"), F.min("tasks").alias("min_tasks_per_executor"),
-        F.max("tasks").alias("max_tasks_per_executor"), F.avg(c).alias("mean_tasks_per_executor"))
-    spread = F.col("max_tasks_per_executor") - F.col("min_tasks_per_executor")
-    return out.select(
+    """Population deviation over mean of the task counts per executor, and their spread."""
+    out = _agg(executor_task_counts(tasks), ["app_id"], {
+        "total_executors": "count(1)", "sd": "stddev_pop(tasks)", "min_tasks_per_executor": "min(tasks)",
+        "max_tasks_per_executor": "max(tasks)", "mean_tasks_per_executor": "avg(tasks)"})
+    return out.selectExpr(
         "app_id", "total_executors", "min_tasks_per_executor", "max_tasks_per_executor", "mean_tasks_per_executor",
-        ratio(F.col("sd"), F.col("mean_tasks_per_executor")).alias("executor_imbalance_ratio"),
-        (ratio(spread, F.col("mean_tasks_per_executor")) * 100).alias("load_imbalance_percentage"))
+        ratio("sd", "mean_tasks_per_executor") + " AS executor_imbalance_ratio",
+        ratio("max_tasks_per_executor - min_tasks_per_executor", "mean_tasks_per_executor") + " * 100D AS load_imbalance_percentage")
 
 
 def executor_churn(executor_events: DataFrame) -> DataFrame:
     """Added and removed executors per application."""
-    removed = F.col("kind") == "REMOVED"
-    return executor_events.groupBy("app_id").agg(
-        F.count_if(F.col("kind") == "ADDED").alias("executors_added"), F.count_if(removed).alias("executors_removed"),
-        (F.count_if(removed) > 0).alias("has_executor_loss"))
+    return _agg(executor_events, ["app_id"], {
+        "executors_added": "count_if(kind = 'ADDED')", "executors_removed": "count_if(kind = 'REMOVED')",
+        "has_executor_loss": "count_if(kind = 'REMOVED') > 0"})
 
 
 def removal_reasons(executor_events: DataFrame) -> DataFrame:
     """(app_id, reason, removals): the reason list as rows, so that it may be of any length."""
-    return (executor_events.filter(F.col("kind") == "REMOVED").groupBy("app_id", F.coalesce("reason", F.lit("")).alias("reason"))
-            .agg(F.count(F.lit(1)).alias("removals")))
+    rows = executor_events.filter("kind = 'REMOVED'").selectExpr("app_id", "coalesce(reason, '') AS reason")
+    return _agg(rows, ["app_id", "reason"], {"removals": "count(1)"})
 
 
 def global_counts(raw_events: DataFrame) -> DataFrame:
     """Event counts per application from (app_id, event)."""
-    def n(name: str) -> Column:
-        return F.count_if(F.col("event") == "SparkListener" + name)
-
-    return raw_events.groupBy("app_id").agg(
-        n("JobEnd").alias("total_jobs"), n("StageCompleted").alias("total_stages"), n("TaskEnd").alias("total_tasks"),
-        n("ExecutorAdded").alias("executors_added"), n("ExecutorRemoved").alias("executors_removed"),
-        F.count(F.lit(1)).alias("total_events"))
+    events = {"total_jobs": "JobEnd", "total_stages": "StageCompleted", "total_tasks": "TaskEnd",
+              "executors_added": "ExecutorAdded", "executors_removed": "ExecutorRemoved"}
+    return _agg(raw_events, ["app_id"], {n: f"count_if(event = 'SparkListener{e}')" for n, e in events.items()} | {"total_events": "count(1)"})
 
 
 def app_duration(applications: DataFrame) -> DataFrame:
-    return applications.select("app_id", "app_name", "start_ms", "end_ms", (F.col("end_ms") - F.col("start_ms")).alias("application_duration_ms"))
+    return applications.selectExpr("app_id", "app_name", "start_ms", "end_ms", "end_ms - start_ms AS application_duration_ms")
 
 
 def stage_failure_rate(stages: DataFrame) -> DataFrame:
     """Failed attempts, retried stages and failed share of all attempts."""
-    per_stage = stages.groupBy("app_id", "stage_id").agg(
-        F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("failure_reason").isNotNull()).alias("failed"),
-        (F.max("attempt") > 0).cast("bigint").alias("retried"))
-    out = per_stage.groupBy("app_id").agg(F.count(F.lit(1)).alias("total_stages"), F.sum("attempts").alias("stage_attempts"),
-                                          F.sum("failed").alias("failed_stages"), F.sum("retried").alias("retried_stages"))
-    return out.withColumn("failure_rate", ratio(F.col("failed_stages"), F.col("stage_attempts")))
+    per_stage = _agg(stages, ["app_id", "stage_id"], {
+        "attempts": "count(1)", "failed": "count(failure_reason)", "retried": "CAST(max(attempt) > 0 AS BIGINT)"})
+    out = _agg(per_stage, ["app_id"], {"total_stages": "count(1)", "stage_attempts": "sum(attempts)", "failed_stages": "sum(failed)",
+                                       "retried_stages": "sum(retried)"})
+    return out.selectExpr("*", ratio("failed_stages", "stage_attempts") + " AS failure_rate")
 
 
 def correlations(tasks: DataFrame) -> DataFrame:
@@ -209,36 +196,49 @@ def correlations(tasks: DataFrame) -> DataFrame:
 
 def dynamic_thresholds(tasks: DataFrame) -> DataFrame:
     """(app_id, metric, outlier_fence, p95) of duration, GC share in per mille and spilled bytes per task."""
-    gc = F.coalesce(F.expr("try_divide(gc_ms * 1000, run_ms)"), F.lit(0.0)).cast("bigint")
-    rows = tasks.select("app_id", F.explode(F.create_map(
-        F.lit("task_duration_ms"), F.greatest(F.col("duration_ms"), F.lit(0)), F.lit("task_gc_permille"), F.greatest(gc, F.lit(0)),
-        F.lit("task_spill_bytes"), F.greatest(F.col("mem_spill_bytes"), F.lit(0)))).alias("metric", "v"))
+    rows = tasks.selectExpr("app_id", """explode(map(
+        'task_duration_ms', greatest(duration_ms, 0), 'task_gc_permille', greatest(coalesce(CAST(try_divide(gc_ms * 1000, run_ms) AS BIGINT), 0), 0),
+        'task_spill_bytes', greatest(mem_spill_bytes, 0))) AS (metric, v)""")
     q = grouped_quantiles(value_counts(rows, ["app_id", "metric"], "v"), ["app_id", "metric"], {"p25": 0.25, "p75": 0.75, "p95": 0.95})
-    return q.select("app_id", "metric", (F.col("p75") + F.lit(1.5) * (F.col("p75") - F.col("p25"))).alias("outlier_fence"), "p95")
+    return q.selectExpr("app_id", "metric", "p75 + 1.5D * (p75 - p25) AS outlier_fence", "p95")
+
+
+TASK_GROUPS = ("task", "cpu", "gc", "heap", "spill", "shuffle", "io", "corr")
+ALL_GROUPS = (*TASK_GROUPS, "quantiles", "executors", "stages", "churn", "jobs")
 
 
-def app_metrics(tasks: DataFrame, stages: DataFrame, executor_events: DataFrame, jobs: DataFrame, applications: DataFrame,
-                cpu_unit: str = "ns") -> DataFrame:
-    """All application metrics in one wide row per application.
+def app_metrics(corpus, *include: str, cpu_unit: str = "ns") -> DataFrame:
+    """Application metrics in one wide row per application.
 
-    Five small aggregates, each already hash-partitioned on ``app_id``, so the joins add no
-    shuffle of task-sized data.  Applications without tasks keep zeros.
+    ``include`` names the wanted groups (default: all), so a detector that needs GC and spill
+    figures costs a single aggregation.  The parts are small aggregates that are already
+    hash-partitioned on ``app_id``; the joins move no task-sized data.  Applications without
+    tasks keep zeros.
     """
-    base = metric_group(tasks, "task", "cpu", "gc", "heap", "spill", "shuffle", "io", "corr", cpu_unit=cpu_unit)
-    counts = value_counts(tasks.filter(F.col("duration_ms") > 0), ["app_id"], "duration_ms")
-    quant = grouped_quantiles(counts, ["app_id"], PERCENTILES).withColumn(
-        "outlier_threshold", F.col("p75") + F.lit(1.5) * (F.col("p75") - F.col("p25")))
-    above = F.sum(F.when(F.col("value") > F.col("outlier_threshold"), F.col("n")))
-    late = counts.join(quant.select("app_id", "outlier_threshold"), "app_id").groupBy("app_id").agg(
-        F.coalesce(above, F.lit(0)).alias("stragglers_count"),
-        (ratio(above, F.sum("n")) * 100).alias("stragglers_percentage"))
-    job = jobs.groupBy("app_id").agg(F.count_if(F.col("completion_ms").isNotNull()).alias("total_jobs"))
-    parts = [base, quant, late, executor_imbalance(tasks), stage_failure_rate(stages), executor_churn(executor_events), job,
-             applications.select("app_id", F.col("duration_ms").alias("application_duration_ms"))]
-    out = reduce(lambda left, right: left.join(right, "app_id", "left"), parts, applications.select("app_id", "app_name"))
-    zero = [f.name for f in out.schema if f.dataType.typeName() in ("long", "double", "integer")]
-    out = out.fillna(0, subset=zero).fillna({"gc_pressure_level": "LOW", "has_executor_loss": False})
-    return out.withColumn("median_task_duration", F.col("p50"))
+    include = include or ALL_GROUPS
+    parts = []
+    groups = [g for g in TASK_GROUPS if g in include]
+    if groups:
+        parts.append(metric_group(corpus.tasks, *groups, cpu_unit=cpu_unit))
+    if "quantiles" in include:
+        counts = duration_counts(corpus.tasks)
+        quant = grouped_quantiles(counts, ["app_id"], PERCENTILES).selectExpr("*", "p50 AS median_task_duration")
+        parts += [quant, _stragglers(counts, quant.selectExpr("app_id", "p75 + 1.5D * (p75 - p25) AS outlier_threshold"))]
+    if "executors" in include:
+        parts.append(executor_imbalance(corpus.tasks))
+    if "stages" in include:
+        parts.append(stage_failure_rate(corpus.stages))
+    if "churn" in include:
+        parts.append(executor_churn(corpus.executor_events))
+    if "jobs" in include:
+        parts.append(_agg(corpus.jobs, ["app_id"], {"total_jobs": "count(completion_ms)"}))
+    spine = corpus.applications.selectExpr("app_id", "app_name", "coalesce(duration_ms, 0) AS application_duration_ms")
+    out = reduce(lambda left, right: left.join(right, "app_id", "left"), parts, spine)
+    filled = []
+    for f in out.schema:
+        default = {"string": "'LOW'", "boolean": "false"}.get(f.dataType.typeName(), "0")
+        filled.append(f.name if f.name in ("app_id", "app_name") else f"coalesce({f.name}, {default}) AS {f.name}")
+    return out.selectExpr(*filled)
 
 
 LONG_METRICS = (
@@ -255,8 +255,8 @@ LONG_METRICS = (
 
 def metrics_long(metrics: DataFrame) -> DataFrame:
     """(app_id, metric, value) for rules and reports."""
-    return metrics.select("app_id", *[F.col(m).cast("double").alias(m) for m in LONG_METRICS]).unpivot(
-        "app_id", list(LONG_METRICS), "metric", "value")
+    pairs = ", ".join(f"'{n}', CAST({n} AS DOUBLE)" for n in LONG_METRICS)
+    return metrics.selectExpr("app_id", f"stack({len(LONG_METRICS)}, {pairs}) AS (metric, value)")
 
 
 ROLLUP_SUMS = ("duration_ms", "run_ms", "gc_ms", "fetch_wait_ms", "mem_spill_bytes", "sh_read_bytes", "sh_write_bytes", "in_bytes", "out_bytes")
@@ -268,11 +268,9 @@ def rollup_metrics(tasks: DataFrame) -> DataFrame:
     Tasks are first reduced to (application, stage, executor), and only that small table goes through
     the grouping sets, so the task rows are not replicated once per grain.
     """
-    fine = tasks.groupBy("app_id", "stage_id", "executor_id").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(m) for m in ROLLUP_SUMS])
-    out = fine.groupingSets(
-        [[F.col("app_id")], [F.col("app_id"), F.col("stage_id")], [F.col("app_id"), F.col("executor_id")]],
-        "app_id", "stage_id", "executor_id",
-    ).agg(F.grouping_id().alias("gid"), F.sum("n").alias("tasks"), *[F.sum(m).alias(m) for m in ROLLUP_SUMS])
-    grain = F.when(F.col("gid") == 3, "app").when(F.col("gid") == 1, "stage").otherwise("executor")
-    return out.select(grain.alias("grain"), "app_id", "stage_id", "executor_id", "tasks", *ROLLUP_SUMS)
+    fine = _agg(tasks, ["app_id", "stage_id", "executor_id"], {"n": "count(1)"} | {m: f"sum({m})" for m in ROLLUP_SUMS})
+    sets = [[F.col(k) for k in keys] for keys in (("app_id",), ("app_id", "stage_id"), ("app_id", "executor_id"))]
+    out = fine.groupingSets(sets, "app_id", "stage_id", "executor_id").agg(
+        F.expr("grouping_id() AS gid"), F.expr("sum(n) AS tasks"), *[F.expr(f"sum({m}) AS {m}") for m in ROLLUP_SUMS])
+    return out.selectExpr("CASE gid WHEN 3 THEN 'app' WHEN 1 THEN 'stage' ELSE 'executor' END AS grain", "app_id", "stage_id",
+                          "executor_id", "tasks", *ROLLUP_SUMS)
