@@ -100,7 +100,7 @@ REMOVED_IF = "user_id % 3 = 0"
 def _dialect(sql: str, duck: bool) -> str:
     if duck:
         sql = sql.replace(" DIV ", " // ").replace("AS STRING)", "AS VARCHAR)")
-        sql = re.sub(r"EPOCHMS\(", "epoch_ms(", sql)
+        sql = re.sub(r"EPOCHMS\(((?:min|max)\(\w+\)|\w+)\)", r"(epoch_us(\1) // 1000)", sql)
         sql = re.sub(r"ARRAY[12]\(([^)]*)\)", r"[\1]", sql)
         return sql.replace("EMPTYLONGS()", "CAST([] AS BIGINT[])")
     sql = re.sub(r"ARRAY[12]\(", "array(", sql).replace("EMPTYLONGS()", "CAST(array() AS ARRAY<BIGINT>)")
