@@ -33,4 +33,4 @@ def register(key: str, fn: Callable[[SparkSession, str], DataFrame], sql: str |
 
 
 def load() -> None:
-    from eventlens.bench import reg_causes, reg_detectors, reg_executors, reg_failures, reg_metrics, reg_report, reg_sources, reg_stages  # noqa: F401
+    from eventlens.bench import reg_causes, reg_detectors, reg_executors, reg_failures, reg_metrics, reg_report, reg_sources, reg_stages, reg_stream  # noqa: F401
