@@ -125,20 +125,21 @@ def task_skew_ratio(tasks: DataFrame) -> DataFrame:
     return metric_group(tasks, "task").select("app_id", "task_skew_ratio", "coefficient_of_variation")
 
 
-def _stragglers(counts: DataFrame, fences: DataFrame) -> DataFrame:
-    """Tasks above the fence, counted on the (duration, count) table instead of the tasks."""
-    out = _agg(counts.join(fences, "app_id"), ["app_id"], {
-        "outlier_threshold": "max(outlier_threshold)", "total": "sum(n)",
-        "stragglers_count": "coalesce(sum(n) FILTER (WHERE value > outlier_threshold), 0)"})
-    return out.selectExpr("app_id", "outlier_threshold", "stragglers_count",
+def _with_stragglers(counts: DataFrame, probs: dict[str, float]) -> DataFrame:
+    """Quantiles plus the tasks above p75 + 1.5 IQR, counted on the (duration, count) table instead of the tasks.
+
+    ``counts`` is used three times, each time with the same columns, so its shuffle runs once.
+    """
+    fences = grouped_quantiles(counts, ["app_id"], probs).selectExpr("*", "p75 + 1.5D * (p75 - p25) AS outlier_threshold")
+    out = _agg(counts.join(fences, "app_id"), ["app_id"], {q: f"max({q})" for q in (*probs, "outlier_threshold")} | {
+        "total": "sum(n)", "stragglers_count": "coalesce(sum(n) FILTER (WHERE value > outlier_threshold), 0)"})
+    return out.selectExpr("app_id", *probs, "outlier_threshold", "stragglers_count",
                           ratio("stragglers_count", "total") + " * 100D AS stragglers_percentage")
 
 
 def stragglers(tasks: DataFrame) -> DataFrame:
     """Tasks beyond p75 + 1.5 IQR: threshold, count and share."""
-    counts = duration_counts(tasks)
-    fence = grouped_quantiles(counts, ["app_id"], {"p25": 0.25, "p75": 0.75})
-    return _stragglers(counts, fence.selectExpr("app_id", "p75 + 1.5D * (p75 - p25) AS outlier_threshold"))
+    return _with_stragglers(duration_counts(tasks), {"p25": 0.25, "p75": 0.75}).drop("p25", "p75")
 
 
 def executor_task_counts(tasks: DataFrame) -> DataFrame:
@@ -211,9 +212,8 @@ def app_metrics(corpus, *include: str, cpu_unit: str = "ns") -> DataFrame:
     """Application metrics in one wide row per application.
 
     ``include`` names the wanted groups (default: all), so a detector that needs GC and spill
-    figures costs a single aggregation.  The parts are small aggregates that are already
-    hash-partitioned on ``app_id``; the joins move no task-sized data.  Applications without
-    tasks keep zeros.
+    figures costs a single aggregation.  Every part is one row per application, so they are stacked and
+    merged by one small aggregation instead of a chain of joins.  Applications without tasks keep zeros.
     """
     include = include or ALL_GROUPS
     parts = []
@@ -221,9 +221,7 @@ def app_metrics(corpus, *include: str, cpu_unit: str = "ns") -> DataFrame:
     if groups:
         parts.append(metric_group(corpus.tasks, *groups, cpu_unit=cpu_unit))
     if "quantiles" in include:
-        counts = duration_counts(corpus.tasks)
-        quant = grouped_quantiles(counts, ["app_id"], PERCENTILES).selectExpr("*", "p50 AS median_task_duration")
-        parts += [quant, _stragglers(counts, quant.selectExpr("app_id", "p75 + 1.5D * (p75 - p25) AS outlier_threshold"))]
+        parts.append(_with_stragglers(duration_counts(corpus.tasks), PERCENTILES).selectExpr("*", "p50 AS median_task_duration"))
     if "executors" in include:
         parts.append(executor_imbalance(corpus.tasks))
     if "stages" in include:
@@ -232,13 +230,14 @@ def app_metrics(corpus, *include: str, cpu_unit: str = "ns") -> DataFrame:
         parts.append(executor_churn(corpus.executor_events))
     if "jobs" in include:
         parts.append(_agg(corpus.jobs, ["app_id"], {"total_jobs": "count(completion_ms)"}))
-    spine = corpus.applications.selectExpr("app_id", "app_name", "coalesce(duration_ms, 0) AS application_duration_ms")
-    out = reduce(lambda left, right: left.join(right, "app_id", "left"), parts, spine)
-    filled = []
-    for f in out.schema:
+    parts.append(corpus.applications.selectExpr("app_id", "app_name", "duration_ms AS application_duration_ms"))
+    wide = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    filled = {}
+    for f in wide.schema:
         default = {"string": "'LOW'", "boolean": "false"}.get(f.dataType.typeName(), "0")
-        filled.append(f.name if f.name in ("app_id", "app_name") else f"coalesce({f.name}, {default}) AS {f.name}")
-    return out.selectExpr(*filled)
+        filled[f.name] = f"max({f.name})" if f.name == "app_name" else f"coalesce(max({f.name}), {default})"
+    del filled["app_id"]
+    return _agg(wide, ["app_id"], filled)
 
 
 LONG_METRICS = (
