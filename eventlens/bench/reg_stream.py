@@ -85,6 +85,7 @@ register("format_duration", _fn("cents", f"{T.format_duration('cents')} AS text"
     "cents", f"{fdur('cents')} AS text", f"{fdur('cents', True)} AS long"))
 register("format_percent", _fn(f"{T.percent('x')} AS one", f"{T.percent('y', 2)} AS two", f"{T.times('x * 7')} AS times"), _fn_sql(
     f"{pct('x')} AS one", f"{pct('y', 2)} AS two", f"{num('x * 7', 1)} || 'x' AS times"))
+register("format_ratio", _fn(f"{T.num('x', 2)} AS two", f"{T.times('y * 11')} AS times"), _fn_sql(f"{num('x', 2)} AS two", f"{num('y * 11', 1)} || 'x' AS times"))
 _SEV = "CASE WHEN x > 0.08{d} THEN 'CRITICAL' WHEN x > 0.06{d} THEN 'HIGH' WHEN x > 0.04{d} THEN 'MEDIUM' WHEN x > 0.02{d} THEN 'LOW' ELSE 'INFO' END"
 register("severity_rank", _fn(f"{T.severity_rank(_SEV.format(d='D'))} AS rank"), _fn_sql(
     f"CAST(CASE {_SEV.format(d='')} WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END AS BIGINT) AS rank"))

@@ -43,7 +43,7 @@ def grouped_quantiles(counts: DataFrame, keys: list[str], probs: dict[str, float
         *keys, "bucket", "before", f"filter(array({wanted}), t -> t.rank >= before AND t.rank < before + bn) AS targets"
     ).filter("size(targets) > 0")
     picked = counts.join(targets, [*keys, "bucket"]).selectExpr(
-        *keys, "value", "n", f"before + sum(n) OVER (PARTITION BY {by}, bucket ORDER BY value) AS upto", "targets"
+        *keys, "value", "n", f"before + sum(n) OVER (PARTITION BY {by}, bucket ORDER BY value ROWS UNBOUNDED PRECEDING) AS upto", "targets"
     ).selectExpr(*keys, "value", "explode(filter(targets, t -> t.rank < upto AND t.rank >= upto - n)) AS t").selectExpr(
         *keys, "CAST(value AS DOUBLE) AS value", "t.name", "t.side", "t.frac")
     lo, hi, frac = ("max({0}) FILTER (WHERE name = '{{n}}'{1})".format(*x) for x in (
