@@ -5,7 +5,7 @@ from eventlens.bench.reg_failures import FAILURE_CTES
 from eventlens.bench.reg_metrics import LONG_CTE
 from eventlens.bench.reg_stages import STAGE_CTES
 from eventlens.bench.registry import register
-from eventlens.bench.sqltext import fbytes, fdur, num, pct, query, r6, rank, transformation
+from eventlens.bench.sqltext import fbytes, fdur, num, pct, query, r6, rank
 from eventlens.bench.views import BenchCorpus
 from eventlens.functions.text import map_text
 from eventlens.operators import causes as H
@@ -14,6 +14,7 @@ from eventlens.operators import failures as G
 from eventlens.operators import metrics as M
 from eventlens.operators import rules as R
 from eventlens.operators import stages as S
+from eventlens.plans.corpus import Diagnosis
 
 _SHUF = "(shuffle_read_bytes + shuffle_write_bytes)"
 RECS = {
@@ -236,7 +237,6 @@ def rq(sql: str) -> str:
     return query(sql, LONG_CTE, FINDING_CTES, RULE_CTES)
 
 
-RULE_NEEDS = CAUSE_NEEDS
 
 
 def _long(s, d):
@@ -254,7 +254,7 @@ register("rule_recommendations", lambda s, d: R.rule_recommendations(_long(s, d)
 
 
 def _rule_confidence(s, d):
-    m = metrics(s, d)
+    m = Diagnosis(BenchCorpus(s, d)).metrics
     return R.rule_confidence(R.rules_eval(M.metrics_long(m), R.rules_table(s)), D.bottlenecks(m))
 
 

@@ -3,7 +3,6 @@
 from eventlens.bench.reg_causes import CAUSE_CTES, CAUSE_NEEDS
 from eventlens.bench.reg_detectors import FINDING_CTES
 from eventlens.bench.reg_failures import FAILURE_CTES
-from eventlens.bench.reg_stages import details
 from eventlens.bench.registry import register
 from eventlens.bench.sqltext import fbytes, fdur, num, pct, query, r6, rank
 from eventlens.bench.views import BenchCorpus
@@ -11,8 +10,8 @@ from eventlens.operators import causes as H
 from eventlens.operators import detectors as D
 from eventlens.operators import failures as G
 from eventlens.operators import metrics as M
-from eventlens.operators import stages as S
 from eventlens.plans import report as R
+from eventlens.plans.corpus import Diagnosis
 
 REPORT_CTES = f"""
 hs AS (SELECT m.app_id, greatest(CAST(trunc(100 - coalesce(sum(CASE fr.severity WHEN 'CRITICAL' THEN 25 WHEN 'HIGH' THEN 15 WHEN 'MEDIUM' THEN 8 ELSE 3 END * fr.confidence), 0)) AS BIGINT), 0) AS health_score,
@@ -129,9 +128,7 @@ register("report_document", lambda s, d: R.report_document(summary(s, d)), DOC_S
 
 
 def _lines(s, d):
-    c = BenchCorpus(s, d)
-    m = M.app_metrics(c)
-    return R.report_lines(R.executive_summary(D.finding_arrays(m), G.failure_counts(c.tasks, c.stages, c.executor_events)), H.all_root_causes(m))
+    return Diagnosis(BenchCorpus(s, d)).report_lines()
 
 
 register("report_lines", _lines)
@@ -139,9 +136,7 @@ register("report_summary_lines", lambda s, d: R.text_summary_lines(summary(s, d)
 
 
 def _stage_job(s, d):
-    c = BenchCorpus(s, d)
-    det = details(s, d)
-    return R.stage_job_report(S.stage_summary(det), S.job_summary(c.jobs), S.problem_transformations(det), S.stage_hotspots(det))
+    return Diagnosis(BenchCorpus(s, d)).stage_job_report()
 
 
 register("stage_job_report", _stage_job)
