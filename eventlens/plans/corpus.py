@@ -44,8 +44,8 @@ class Corpus:
 class Diagnosis:
     """The result tables over a corpus.
 
-    ``metrics``, ``failure_counts`` and ``stage_details`` feed most results; they are one row per application or stage and are
-    written once to the shared folder, so no result scans the tasks again for them.
+    ``metrics``, ``failure_counts``, ``stage_details``, the summary and the causes feed most results; they have a few rows per application or
+    stage and are written once to the shared folder, so no result scans the tasks again for them.
     """
 
     def __init__(self, corpus):
@@ -54,6 +54,8 @@ class Diagnosis:
     metrics = cached_property(lambda self: stash(metrics.app_metrics(self.corpus)))
     failure_counts = cached_property(lambda self: stash(failures.failure_counts(self.corpus.tasks, self.corpus.stages, self.corpus.executor_events)))
     stage_details = cached_property(lambda self: stash(stages.stage_details(self.corpus.stages, self.corpus.tasks)))
+    _causes = cached_property(lambda self: stash(causes.all_root_causes(self.metrics)))
+    _summary = cached_property(lambda self: stash(report.executive_summary(detectors.finding_arrays(self.metrics), self.failure_counts)))
     executor_stats = cached_property(lambda self: stash(executors.executor_stats(self.corpus.executor_events, self.corpus.tasks)))
 
     def findings(self) -> DataFrame:
@@ -66,7 +68,7 @@ class Diagnosis:
         return detectors.warnings(self.metrics)
 
     def root_causes(self) -> DataFrame:
-        return causes.all_root_causes(self.metrics)
+        return self._causes
 
     def hotspots(self) -> DataFrame:
         return detectors.task_hotspots(self.corpus.tasks, self.metrics)
@@ -79,7 +81,7 @@ class Diagnosis:
         return causes.cause_chains(self.stage_details, self.failure_counts, self.metrics, near)
 
     def summary(self) -> DataFrame:
-        return report.executive_summary(detectors.finding_arrays(self.metrics), self.failure_counts)
+        return self._summary
 
     def documents(self) -> DataFrame:
         return report.report_document(self.summary())
