@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,17 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session.
 
-    A local session without the setting gets a folder of its own; on a cluster
-    the setting must name storage that every executor can reach.
+    A session inside one process, such as a test, needs no setting and gets a temporary folder for its life; on a
+    cluster the setting must name storage that every executor can reach.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="eventlens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _own_folder(spark.sparkContext.applicationId).name
+
+
+@lru_cache(maxsize=None)
+def _own_folder(application: str) -> tempfile.TemporaryDirectory:
+    """Removed when the process ends."""
+    return tempfile.TemporaryDirectory(prefix="eventlens-")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
