@@ -19,6 +19,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlens.llm.secrets import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlens.llm.langid import predicted
+
+    return predicted(table(spark, sf_dir, "documents"))
+
+
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlens.llm.surrogates import replaced
+
+    return replaced(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_entities", "text")
+
+
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlens.llm.multiindex import linked
+
+    return linked(table(spark, sf_dir, "embeddings"))
+
+
+def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlens.llm.spotsigs import edited_neighbours
+
+    return edited_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventlens.llm.packing import packed_documents
 
@@ -31,11 +61,31 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 85)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlens.llm.toxicity import predicted
+
+    return predicted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlens.llm.htmltree import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventlens.llm.bpe import digests
 
     return digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_packing": op6_packing, "op7_minhash": op7_minhash, "op10_bpe": op10_bpe}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_secrets, op2_language, op3_surrogates, op4_multi_index, op5_spotsigs, op6_packing, op7_minhash, op8_toxicity, op9_html_tree, op10_bpe, pipeline)
+}
 ORACLES: dict[str, str] = {}
