@@ -7,7 +7,7 @@ shingle sets.
 
 No group is expanded into pairs. Equal sets are one class. In each band's bucket every class is first compared with the
 bucket's smallest class (a star); only where a bucket still holds several components are the remaining candidates
-compared, in blocks of bounded size, each block pair in a task of its own that sends on only surviving pairs.
+compared, in blocks of bounded size, each block pair in a task of its own that sends on a spanning forest of its links.
 """
 
 from __future__ import annotations
@@ -67,12 +67,9 @@ def shingles(text: str, words_in: int = 5) -> np.ndarray:
 def samples(hashes: np.ndarray) -> np.ndarray:
     """MinHash samples: the least value under each of the multiply-add permutations, in slices of bounded size."""
     low = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
-    for s in range(0, len(hashes), 2048):
-        part = hashes[s:s + 2048]
-        for k in range(SAMPLES):
-            v = (part * _ODD[k] + _ADD[k]).min()
-            if v < low[k]:
-                low[k] = v
+    for s in range(0, len(hashes), 1024):
+        part = hashes[s:s + 1024]
+        low = np.minimum(low, (part * _ODD[:, None] + _ADD[:, None]).min(axis=1))
     return low
 
 
@@ -129,63 +126,85 @@ def _may_link(percent: int) -> str:
     return f"100 * least(n, n2) >= {percent} * greatest(n, n2) AND {bits} <= {most_different(percent / 100)}"
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, percent: int, words_in: int) -> DataFrame:
-    """Of candidate pairs (a, b) those whose full sets reach the similarity. Sets are made again for candidates only."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def _sets(ids: DataFrame, docs: DataFrame, words_in: int) -> DataFrame:
+    """(doc_id, hashes binary) of the wanted documents, made again from their texts.
 
-    def sets(batches):
+    The list of ids grows with the corpus, so it is never broadcast: texts and ids meet in one shuffle. Of repeated
+    rows with one id, one is taken.
+    """
+
+    def made(batches):
         for b in batches:
-            made = [shingles(x.as_py(), words_in).tobytes() for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["doc_id", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x.as_py(), words_in).tobytes() for x in b.column(1)], pa.binary())], ["doc_id", "hashes"])
+
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text()).join(ids.hint("merge"), "doc_id", "left_semi")
+    return wanted.mapInArrow(made, "doc_id long, hashes binary").groupBy("doc_id").agg(F.min("hashes").alias("hashes"))
+
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text()).join(ids, "doc_id", "left_semi")
-    made = wanted.mapInArrow(sets, "doc_id long, hashes binary")
-    # Repeated rows of one id: any row whose set is the class's own would do; all are tried.
-    both = pairs.join(made.selectExpr("doc_id AS a", "hashes AS ha"), "a").join(made.selectExpr("doc_id AS b", "hashes AS hb"), "b")
+def _reach(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of candidate pairs (a, b) those whose full sets reach the similarity."""
+    both = pairs.join(sets.selectExpr("doc_id AS a", "hashes AS ha"), "a").join(sets.selectExpr("doc_id AS b", "hashes AS hb"), "b")
 
     def check(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b.column("ha"), b.column("hb")):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * common >= percent * (len(p) + len(q) - common))
+            keep = [_reach(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(b.column("ha"), b.column("hb"))]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "ha", "hb").mapInArrow(check, "a long, b long")
 
 
-def _blocks(members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of (band, value, comp, rep, n, sketch) rows within a bucket and across components.
+def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) across components among (band, value, rep, n, sketch, comp) rows that share a bucket.
 
-    A bucket is cut into blocks by hash, so that each holds about ``BLOCK`` rows; a row goes to all block pairs of its
-    block, and a task sees two blocks.
+    Buckets that share a member form one crowd, so that each member and its set goes to one place, not to one for each
+    band. A crowd is cut into blocks by hash, of about ``BLOCK`` members; a member goes to all block pairs of its
+    block. A task sees two blocks, compares sketches and then sets, and sends on links between different components
+    only, one for each pair of components it has not yet joined itself.
     """
-    size = members.groupBy("band", "value").agg(F.count("*").alias("size"))
-    many = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = (members.join(size, ["band", "value"]).withColumn("parts", many).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    low = members.groupBy("band", "value").agg(F.min("rep").alias("low"))
+    crowds = components(members.join(low, ["band", "value"]).select(F.col("rep").alias("a"), F.col("low").alias("b"))).selectExpr("node AS rep", "component AS crowd")
+    one = members.groupBy("rep").agg(F.min(F.struct("n", "sketch", "comp")).alias("m")).selectExpr("rep", "m.n AS n", "m.sketch AS sketch", "m.comp AS comp").join(crowds, "rep")
+    one = stash(one)
+    size = one.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    placed = (one.join(size, "crowd").join(sets.withColumnRenamed("doc_id", "rep"), "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-              .select("band", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "comp", "rep", "n", "sketch"))
+              .select("crowd", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "comp", "rep", "n", "sketch", "hashes"))
     most = most_different(percent / 100)
 
     def run(key, t):
         own = t.column("own").to_numpy()
         comp, rep, n = (t.column(c).to_numpy() for c in ("comp", "rep", "n"))
         sketch = np.array(t.column("sketch").to_pylist(), np.int64).reshape(-1, SKETCH_WORDS).view(np.uint64)
-        i, j = key[2].as_py(), key[3].as_py()
-        left = np.flatnonzero(own == i)
-        right = np.flatnonzero(own == j)
-        found_a, found_b = [], []
+        sets_here = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("hashes")]
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
+        i, j = key[1].as_py(), key[2].as_py()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        a, b = [], []
         for x in left:
             ys = right[right > x] if i == j else right
             ys = ys[(comp[ys] != comp[x]) & (100 * np.minimum(n[ys], n[x]) >= percent * np.maximum(n[ys], n[x]))]
             if len(ys):
                 ys = ys[np.bitwise_count(sketch[ys] ^ sketch[x]).sum(axis=1) <= most]
-                found_a += [max(rep[x], rep[y]) for y in ys]
-                found_b += [min(rep[x], rep[y]) for y in ys]
-        return pa.table([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
+            for y in ys:
+                p, q = root(comp[x]), root(comp[y])
+                if p != q and _reach(sets_here[x], sets_here[y], percent):
+                    joined[max(p, q)] = min(p, q)
+                    a.append(rep[x])
+                    b.append(rep[y])
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return placed.groupBy("band", "value", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return placed.groupBy("crowd", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, words_in: int = 5) -> DataFrame:
@@ -195,23 +214,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words_in: int = 5) -> Da
     doc_id is null keep a null component and are kept. Extra columns are not read. An empty table gives an empty one.
     """
     signed = stash(signatures(docs, words_in))
-    sets = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stash(sets.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "bands", "sketch", "n_shingles")).alias("r"))
+    signed_sets = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = stash(signed_sets.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "bands", "sketch", "n_shingles")).alias("r"))
                     .selectExpr("set_key", "rep", "r.bands AS bands", "r.sketch AS sketch", "r.n_shingles AS n"))
     banded = classes.select("rep", "n", "sketch", F.posexplode("bands").alias("band", "value"))
     centre = F.min(F.struct("rep", "n", "sketch"))
     buckets = banded.groupBy("band", "value").agg(centre.alias("c"), F.count("*").alias("size")).where("size > 1")
     met = stash(banded.join(buckets.selectExpr("band", "value", "c.rep AS centre", "c.n AS n2", "c.sketch AS sketch2", "size"), ["band", "value"]))
     pairs = stash(met.where("rep <> centre").where(_may_link(percent)).selectExpr("rep AS a", "centre AS b").distinct())
-    edges = stash(_confirm(pairs, docs, percent, words_in))
+    ids = pairs.selectExpr("a AS doc_id").union(pairs.selectExpr("b AS doc_id")).union(met.where("rep <> centre AND size > 2").selectExpr("rep AS doc_id")).distinct()
+    sets = stash(_sets(ids, docs, words_in))
+    edges = stash(_confirm(pairs, sets, percent))
     comp = stash(components(edges))
     # What is left: classes other than the centre, in buckets where those lie in more than one component.
     rest = (met.where("rep <> centre AND size > 2").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
             .select("band", "value", "rep", "n", "sketch", F.coalesce("component", "rep").alias("comp")))
-    open_ = rest.groupBy("band", "value").agg((F.min("comp") < F.max("comp")).alias("open")).where("open").select("band", "value")
-    more = stash(_blocks(stash(rest.join(open_, ["band", "value"], "left_semi")), percent).join(pairs, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        comp = stash(components(edges.union(_confirm(more, docs, percent, words_in))))
+    mixed = rest.groupBy("band", "value").agg((F.min("comp") < F.max("comp")).alias("mixed")).where("mixed").select("band", "value")
+    members = stash(rest.join(mixed, ["band", "value"], "left_semi"))
+    if members.limit(1).count():
+        comp = stash(components(edges.union(stash(_rest(members, sets, percent)))))
     found = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("_comp"))
     out = signed.drop("bands", "sketch").join(found, "set_key", "left")
     id_ = F.when(F.col("n_shingles") > 0, F.col("_comp")).otherwise(F.col("doc_id"))
