@@ -223,19 +223,26 @@ class TreeModel:
         self.edge = [[log((total[("e", str(p), y)] + 1) / (total[("e", str(p), 0)] + total[("e", str(p), 1)] + 2)) for y in (0, 1)] for p in (0, 1)]
         self.root = [log(0.95), log(0.05)]
 
+    def own(self, x: Node) -> list[float]:
+        """Log potentials of a node by itself, for both labels.
+
+        Looks count less among many siblings, or a long run of like blocks would outvote what names their parent. A node
+        without a name says nothing: its label follows its parent's and its own looks.
+        """
+        a = b = 0.0
+        weight = LOOKS / len(x.parent.children) if x.parent is not None else 0.0
+        for f in features(x):
+            if f == "hint=none":
+                continue
+            u = self.unary.get(f, (0.0, 0.0))
+            w = 1.0 if f[:5] == "hint=" else weight
+            a, b = a + w * u[0], b + w * u[1]
+        return [a, b]
+
     def marginals(self, nodes: list[Node]) -> list[float]:
         """Probability of content for each node, by one pass of messages up and one down."""
         at = {id(x): k for k, x in enumerate(nodes)}
-        own = []
-        for x in nodes:
-            a = b = 0.0
-            # Looks count less among many siblings, or a long run of like blocks would outvote what names their parent.
-            weight = LOOKS / len(x.parent.children) if x.parent is not None else 0.0
-            for f in features(x):
-                u = self.unary.get(f, (0.0, 0.0))
-                w = 1.0 if f[:5] == "hint=" else weight
-                a, b = a + w * u[0], b + w * u[1]
-            own.append([a, b])
+        own = [self.own(x) for x in nodes]
         up = [[0.0, 0.0] for _ in nodes]  # what a node tells its parent, by the parent's label
         for k in range(len(nodes) - 1, 0, -1):
             p = at[id(nodes[k].parent)]
