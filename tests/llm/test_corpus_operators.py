@@ -1,0 +1,276 @@
+"""The corpus operators against brute force, and on tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from eventlens.llm import bpe, htmltree, langid, multiindex, oddsketch, packing, secrets, spotsigs, surrogates, toxicity
+from eventlens.llm.queries import TOKENIZER
+
+SF = "/root/testdata/sf0.001"
+tokenizers = pytest.importorskip("tokenizers")
+PATH = pytest.importorskip("public_tokenizers").path(TOKENIZER)
+KEY = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+ROWS = [(1, None), (2, ""), (3, "   "), (4, "12 !!"), (5, f'the token = "{KEY}" of a day'), (5, f'the token = "{KEY}" of a day'), (6, "Mail ann@mail.example.org or ann@mail.example.org, not bob@mail.example.org at 10.1.2.3."),
+        (7, "the of and a to in is it that"), (8, "long word " * 4000 + "<|endoftext|> Été"), (9, "x" * 30_000), (10, "漢字 가나 😀 é"), (None, "a row without an id but with words in it")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd rows with columns whose names clash with results."""
+    clash = {c: F.lit("x") for c in ("score", "lang_pred", "component_id", "kept", "n_shingles", "sequence_id", "fingerprint", "n_tokens", "spans", "start", "length")}
+    return spark.createDataFrame(ROWS, "doc_id long, text string").withColumns({**clash, "lang": F.lit("en"), "n_chars": F.lit(1)})
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def test_bpe_equals_the_library(spark, odd, documents):
+    library = tokenizers.Tokenizer.from_file(PATH)
+    docs = odd.select("doc_id", "text").union(documents.select("doc_id", "text"))
+
+    def want(text):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+    got = sorted(map(tuple, bpe.digests(docs, PATH).select("n_tokens", "ids_sha256", "decoded_sha256").collect()))
+    assert got == sorted(want(r.text) for r in docs.collect())
+
+
+def test_bpe_stream_needs_no_more_than_its_lookahead():
+    codec = bpe.codec(PATH)
+    rng = np.random.default_rng(3)
+    for letters in ("ab", "thing", "aeionrst"):
+        word = "".join(rng.choice(list(letters), 3000))
+        stream = bpe.Stream(codec.merges, block=64)
+        symbols = codec.merges.symbols(word)
+        out = [t for k in range(0, len(symbols), 97) for t in stream.feed(symbols[k:k + 97])] + stream.feed([], True)
+        assert out == codec.merges.merge(codec.merges.symbols(word))
+
+
+def test_bytes_round_trip():
+    codec = bpe.codec(PATH)
+    decoder = codec.decoder(plain=False)
+    text = "élan 漢字 😀 it"
+    assert "".join(decoder.feed([i]) for run in codec.encode(text) for i in run) + decoder.finish() == text + " "
+
+
+def test_packing_places_every_id_once(spark, odd, documents):
+    docs = odd.select("doc_id", "text").union(documents.select("doc_id", "text"))
+    library = tokenizers.Tokenizer.from_file(PATH)
+    rows = packing.packed_documents(docs, PATH, window=512).collect()
+    total = sum(len(library.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs.collect())
+    assert sum(r.length for r in rows) == total
+    by = defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 512
+    free: list[int] = []  # first-fit decreasing over the same pieces
+    for length in sorted((r.length for r in rows), reverse=True):
+        k = next((k for k, room in enumerate(free) if room >= length), None)
+        if k is None:
+            free.append(512 - length)
+        else:
+            free[k] -= length
+    assert total <= 512 * len(by) and len(by) <= len(free)
+    one = next(r for r in documents.collect() if r.text)
+    ids = np.array(library.encode(one.text, add_special_tokens=False).ids + [2], "<u4")
+    for r in rows:
+        if r.doc_id == one.doc_id and r.doc_tokens == len(ids) and one.doc_id > 10:
+            assert r.ids_crc32 == zlib.crc32(ids[r.start:r.start + r.length].tobytes())
+
+
+def test_fill_is_the_best_subset():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        counts = {int(n): int(c) for n, c in zip(rng.integers(1, 30, 5), rng.integers(1, 4, 5))}
+        room = int(rng.integers(1, 80))
+        reach = {0}
+        for n, c in counts.items():
+            reach |= {r + n * k for r in reach for k in range(1, c + 1)}
+        used = packing.fill(counts, room)
+        assert all(used[n] <= counts[n] for n in used)
+        assert sum(n * k for n, k in used.items()) == max(r for r in reach if r <= room)
+
+
+def shingle_set(text):
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    return frozenset(tuple(w[i:i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def near_group(n):
+    """Chains of texts, each a small change away from the one before."""
+    words = [f"w{k}" for k in range(120)]
+    out = []
+    for k in range(n):
+        words = words.copy()
+        words[(k * 7) % 120] = f"new{k}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_minhash_components_equal_brute_force(spark, odd, documents):
+    extra = [(1000 + k, t) for k, t in enumerate(near_group(60))]
+    docs = odd.select("doc_id", "text").union(documents.select((F.col("doc_id") + 5000).alias("doc_id"), "text")).union(spark.createDataFrame(extra, "doc_id long, text string"))
+    rows = [(r.doc_id, shingle_set(r.text)) for r in docs.collect() if r.doc_id is not None]
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (i, a) in enumerate(rows):
+        for j, b in rows[:k]:
+            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+                p, q = root(i), root(j)
+                parent[max(p, q)] = min(p, q)
+    got = {r.doc_id: r for r in oddsketch.near_duplicates(docs, 85).collect()}
+    assert got.pop(None).kept
+    assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(s), root(i), root(i) == i) for i, s in rows}
+
+
+def test_odd_sketch_grows_with_difference():
+    a = np.arange(1, 2001, dtype=np.uint64)
+    near, far = a.copy(), a.copy()
+    near[:100] += np.uint64(10_000)
+    far[:1500] += np.uint64(10_000)
+
+    def bits(x):
+        return int(np.bitwise_count(oddsketch.odd_sketch(oddsketch.samples(oddsketch.mix(a))) ^ oddsketch.odd_sketch(oddsketch.samples(oddsketch.mix(x)))).sum())
+    assert bits(a) == 0 and bits(near) <= oddsketch.most_different(0.85) < bits(far)
+
+
+def test_embeddings_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(12, 8))
+    v = np.repeat(base, 20, axis=0) + rng.normal(scale=0.05, size=(240, 8))
+    rows = [(i, x.tolist(), int(i) % 2) for i, x in enumerate(v)] + [(900, v[0].tolist(), 0), (901, [0.0] * 8, 0), (902, None, 0), (903, v[1].tolist(), None), (904, [float("nan")] * 8, 1), (900, v[0].tolist(), 0),
+                                                                     (905, v[0].tolist()[:4], 0)]
+    got = {r.vec_id: r for r in multiindex.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("n_links", F.lit(7))).collect()}
+    good = {i: (np.array(x) / np.linalg.norm(x), y) for i, x, y in rows if i < 901}
+    links = {i: {j for j, (b, z) in good.items() if j != i and y == z and a @ b >= 0.98} for i, (a, y) in good.items()}
+    for i in (901, 902, 903, 904, 905):
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
+    for i, near in links.items():
+        seen, todo = {i}, [i]
+        while todo:
+            new = links[todo.pop()] - seen
+            seen |= new
+            todo += new
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (len(near), min(seen), min(seen) == i)
+
+
+def test_secret_base_spans_equal_python(spark, odd, documents):
+    docs = odd.select("doc_id", "text").union(documents.select("doc_id", "text"))
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+    def want(text):
+        found = [("assign", m.start(), m.end()) for m in assign.finditer(text) if len(m[2]) >= 12]
+        found += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        found += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+        found.sort(key=lambda x: (x[1], ["assign", "access", "hex"].index(x[0])))
+        return hashlib.sha256(",".join("%s:%d:%d" % x for x in found).encode()).hexdigest()
+
+    got = secrets.report(docs)
+    assert sorted(r.base_sha256 for r in got.collect()) == sorted(want(r.text or "") for r in docs.collect())
+
+
+def test_random_strings_are_found_and_names_are_not(spark):
+    rows = [(1, "use Zk3vQ9xT7bLm2PwR8sYd4NfH6gJc1 now"), (2, "see some_module_name_with_version_2 and another-long-file-name-2024-01-01"), (3, "9807915762804490 98079157628044909807")]
+    got = {r.doc_id: r for r in secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].spans == "random:4:33" and got[2].spans == "" and got[3].n_random == 0
+    kept = {r.doc_id: r.text for r in secrets.masked(spark.createDataFrame([(1, f'é token = "{KEY}" end'), (2, "clean"), (3, None)], "doc_id long, text string")).collect()}
+    assert kept == {1: 'é [secret]" end', 2: "clean", 3: None}
+
+
+def test_language_accuracy_and_unknown_texts(spark, odd, documents):
+    got = langid.predicted(documents).join(documents.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert np.mean([r.lang_pred == r.lang for r in got]) > 0.95
+    by = {r.doc_id: r for r in langid.predicted(odd).collect()}
+    assert all((by[i].lang_pred, by[i].score) == ("und", 0.0) for i in (1, 2, 3, 4))
+    assert sorted(langid.known_language(odd).columns) == sorted(odd.columns)
+
+
+def test_toxicity_finds_marked_words(spark, odd):
+    words = "the sun rose over hills and the river ran on to town".split()
+    texts = [(i, " ".join(np.random.default_rng(i).permutation(words)) + (" you dreadful nincompoop" if i % 3 == 0 else "")) for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    got = toxicity.predicted(docs, labels).collect()
+    assert all(r.predicted == (r.doc_id % 3 == 0) for r in got if r.held_out)
+    assert toxicity.predicted(odd, labels.limit(0)).count() == len(ROWS)
+
+
+def test_surrogates_are_consistent_and_distinct(spark, odd):
+    got = {r.doc_id: r for r in surrogates.replaced(odd).collect()}
+    a, b, c = re.findall(r"[\w.]+@[\w.]+", got[6].text.rstrip("."))[:3]
+    assert a == b != c and a.endswith(".org") and "ann@" not in got[6].text and "10.1.2.3" not in got[6].text and got[6].n_entities == 4
+    assert got[7].text == ROWS[7][1] and got[1].text is None
+    people = spark.createDataFrame([(1, "Mrs. Ada Stone met Herr Otto Lang; Mrs. Ada Stone left.")], "doc_id long, text string")
+    text = surrogates.replaced(people).first().text
+    first, _, last = re.findall(r"(?:Mrs\.|Herr) \w+ \w+", text)
+    assert first == last and first.split()[1] in surrogates.GIVEN["f"] and "Stone" not in text
+
+
+def test_spotsigs_equal_brute_force(spark, odd, documents):
+    docs = documents.select("doc_id", "text").union(odd.select((F.col("doc_id") + 9000).alias("doc_id"), "text").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    got = {r.doc_id: r for r in spotsigs.edited_neighbours(docs).collect()}
+    assert len(got) == len(rows)
+    for k, (i, text) in enumerate(rows):
+        after, n = rows[(k + 1) % len(rows)][1], len(text)
+        edited = text[:n - n // 2] + after[:n // 2]
+        own = spotsigs.signatures(text)
+        want = (n, hashlib.sha256(edited.encode()).hexdigest(), spotsigs.fingerprint(own), spotsigs.likeness(own, spotsigs.signatures(edited)), spotsigs.likeness(own, spotsigs.signatures(after)))
+        assert (got[i].n_chars, got[i].edited_sha256, got[i].fingerprint, got[i].near_edited, got[i].near_next) == want
+
+
+def test_html_main_text(spark):
+    page = ('<html><head><title>T</title><script>var a="<p>x</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy</div><article><h1>Head &amp; tail</h1>'
+            '<p>One   <b>two</b>\nthree.<p>Four &eacute;.</article><div id="comments"><p>I think so too.</p></div><footer>(c)</footer></body></html>')
+    rows = [(1, "u", page), (2, None, None), (3, "u", ""), (3, "u", ""), (4, "u", "<div" * 2000), (5, "u", "a < b")]
+    got = sorted((r.page_id, r.text, r.n_chars) for r in htmltree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("x"))).collect())
+    want = "Head & tail\nOne two three.\nFour é."
+    assert got[0] == (1, want, len(want)) and [g[1] for g in got[1:4]] == ["", "", ""]
+
+
+def test_messages_equal_enumeration():
+    nodes = htmltree.parse("<html><body><div class='post'><p>one two</p><p>three</p></div><div class='ad'><p>x</p></div></body></html>")
+    model = htmltree.TreeModel({})
+    got = model.marginals(nodes)
+    at = {id(x): k for k, x in enumerate(nodes)}
+    weight = np.zeros(len(nodes))
+    total = 0.0
+    for mask in range(1 << len(nodes)):
+        y = [mask >> k & 1 for k in range(len(nodes))]
+        score = model.root[y[0]]
+        for k, x in enumerate(nodes):
+            score += model.own(x)[y[k]]
+            if k:
+                score += model.edge[y[at[id(x.parent)]]][y[k]]
+        total += np.exp(score)
+        weight += np.exp(score) * np.array(y)
+    assert np.allclose(got, weight / total)
+
+
+def test_empty_tables(spark, odd):
+    empty = odd.limit(0)
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    for made in (bpe.digests(empty, PATH), packing.packed_documents(empty, PATH), oddsketch.near_duplicates(empty), secrets.report(empty), langid.predicted(empty), toxicity.predicted(empty, labels),
+                 surrogates.replaced(empty), spotsigs.edited_neighbours(empty), multiindex.linked(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")),
+                 htmltree.main_text(spark.createDataFrame([], "page_id long, url string, html string"))):
+        assert made.count() == 0
