@@ -70,6 +70,7 @@ def visited(first: np.ndarray, second: np.ndarray, radius2: float) -> list[tuple
 
 def _units(column) -> np.ndarray:
     v = np.array(column.to_pylist(), np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)  # squares of very large or small components would leave the range
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -94,6 +95,7 @@ def linked(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     books: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for size, sample in by_size.items():
         u = np.array(sample, np.float64)
+        u /= np.abs(u).max(axis=1, keepdims=True)
         u /= np.linalg.norm(u, axis=1, keepdims=True)
         books[size] = tuple(codebook(part, min(k, len(u))) if part.shape[1] else np.zeros((1, 0)) for part in (u[:, :size // 2], u[:, size // 2:]))
     radius2 = 2 * (1 - least) + 1e-9
