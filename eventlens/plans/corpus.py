@@ -9,26 +9,42 @@ from pyspark.sql import DataFrame, SparkSession
 from eventlens.operators import causes, detectors, executors, failures, metrics, stages
 from eventlens.plans import report
 from eventlens.plans.stash import new_path, stash
+from eventlens.schema import CORRUPT
 from eventlens.sources import readers, sinks, tables
-from eventlens.sources.normalize import typed
+from eventlens.sources.normalize import checked, parse_stats
 
 
 class Corpus:
     """Canonical tables of all applications; each is built on first use."""
 
-    def __init__(self, events: DataFrame):
-        self.events = events
+    def __init__(self, records: DataFrame):
+        self.records = records
+        self.events = records.filter("Event IS NOT NULL")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, store: str | None = None, strict: bool = False) -> "Corpus":
+    def load(cls, spark: SparkSession, path: str, store: str | None = None, strict: bool = False, peek: bool = True) -> "Corpus":
         """Parse the logs under ``path`` once into ``store`` (Parquet by event type, default in the shared folder).
 
-        All tables then read only the files and columns they need.
+        All tables then read only the files and columns they need. Every record is stored with its text (``raw``), so
+        fields outside the schema stay readable; records that are not events are found in ``rejected``. ``strict``
+        stops at the first record that is not valid. ``peek=False`` is for stores that only Spark can open.
         """
         store = store or new_path(spark, "events")
-        sinks.write_events_parquet(typed(readers.scan_events(spark, path, strict)), store)
-        events = spark.read.parquet(store).withColumnRenamed("event_type", "Event")
-        return cls(tables.attach_app_ids(events))
+        records = checked(readers.parse_lines(readers.scan_records(spark, path, peek)), strict)
+        sinks.write_events_parquet(records, store)
+        stored = records.withColumnRenamed("Event", "event_type").schema
+        parsed = spark.read.schema(stored).parquet(store).withColumnRenamed("event_type", "Event")
+        return cls(tables.attach_app_ids(parsed, stash(tables.log_ids(parsed))))
+
+    @cached_property
+    def rejected(self) -> DataFrame:
+        """(app_id, file, raw, reason) of records that are not events: not JSON, or without a discriminator."""
+        return self.records.filter("Event IS NULL").selectExpr("app_id", "file", "raw", f"IF({CORRUPT} IS NULL, 'no event name', 'malformed') AS reason")
+
+    @cached_property
+    def parse_statistics(self) -> DataFrame:
+        """Totals per application of the load, from the stored records."""
+        return parse_stats(self.records)
 
     tasks = cached_property(lambda self: tables.tasks(self.events))
     task_starts = cached_property(lambda self: tables.task_starts(self.events))

@@ -24,6 +24,12 @@ def validity() -> str:
     return f"{CORRUPT} IS NULL AND coalesce(CASE Event {arms} ELSE true END, false)"
 
 
+def checked(events: DataFrame, strict: bool = False) -> DataFrame:
+    """All records with ``is_valid``; in strict mode the first that is not valid, whatever is wrong with it, stops the job."""
+    bad = f"raise_error(concat('invalid event: ', coalesce(Event, {CORRUPT}, 'record without Event')))" if strict else "false"
+    return normalize_time(events).withColumn("is_valid", F.expr(f"CASE WHEN Event IS NOT NULL AND {validity()} THEN true ELSE {bad} END"))
+
+
 def typed(events: DataFrame) -> DataFrame:
     """Events with ``is_valid``; records without a discriminator or that are not JSON are left out (see ``parse_stats``)."""
     return normalize_time(events).filter("Event IS NOT NULL").withColumn("is_valid", F.expr(validity()))

@@ -6,7 +6,7 @@ Readers return the columns of ``event_schema`` plus ``file``.  A record that is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -61,27 +61,38 @@ def scan_gzip(spark: SparkSession, paths: Paths, partitions: int | None = None)
     return parse_lines(lines.repartition(partitions) if partitions else lines)
 
 
-def _first_character(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Open each file just far enough to see its first character that is not blank."""
-    import zlib
+def _first_characters() -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A function that opens each file just far enough to see its first character that is not blank.
 
-    from pyarrow import fs
+    It is made here so that it travels to the workers whole; they need no copy of this package.
+    """
 
-    for batch in batches:
-        firsts = []
-        for path in batch["file"]:
-            uri = path.replace("s3a://", "s3://", 1).replace("s3n://", "s3://", 1)
-            store, inner = fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1))
-            first, unzip = "", zlib.decompressobj(47) if path.endswith(".gz") else None
-            with store.open_input_stream(inner, compression=None) as stream:
-                while not first:
-                    chunk = stream.read(4096)
-                    if not chunk:
-                        break
-                    text = (unzip.decompress(chunk) if unzip else chunk).decode("utf-8", "ignore").lstrip("\ufeff \t\r\n")
-                    first = text[:1]
-            firsts.append(first)
-        yield pd.DataFrame({"file": batch["file"], "first": firsts})
+    def run(batches):
+        import bz2
+        import zlib
+
+        import pandas
+        from pyarrow import fs
+
+        for batch in batches:
+            firsts = []
+            for path in batch["file"]:
+                if path.endswith((".zst", ".zstd", ".lz4", ".lzo", ".snappy", ".deflate")):
+                    raise ValueError(f"compression of {path} is not supported; use gzip, bzip2 or plain text")
+                uri = path.replace("s3a://", "s3://", 1).replace("s3n://", "s3://", 1)
+                store, inner = fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1))
+                unzip = zlib.decompressobj(47) if path.endswith(".gz") else bz2.BZ2Decompressor() if path.endswith(".bz2") else None
+                first = ""
+                with store.open_input_stream(inner, compression=None) as stream:
+                    while not first:
+                        chunk = stream.read(4096)
+                        if not chunk:
+                            break
+                        first = (unzip.decompress(chunk) if unzip else chunk).decode("utf-8", "ignore").lstrip("\ufeff \t\r\n")[:1]
+                firsts.append(first)
+            yield pandas.DataFrame({"file": batch["file"], "first": firsts})
+
+    return run
 
 
 def detect_format(spark: SparkSession, paths: Paths, peek: bool = True) -> DataFrame:
@@ -92,7 +103,7 @@ def detect_format(spark: SparkSession, paths: Paths, peek: bool = True) -> DataF
     """
     if peek:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select(F.col("path").alias("file"))
-        firsts = files.mapInPandas(_first_character, "file STRING, first STRING")
+        firsts = files.mapInPandas(_first_characters(), "file STRING, first STRING")
     else:
         lines = spark.read.option("recursiveFileLookup", "true").text(paths).selectExpr(
             "_metadata.file_path AS file", "_metadata.file_block_start AS start", "monotonically_increasing_id() AS line", "left(ltrim(value), 1) AS first")
@@ -100,23 +111,40 @@ def detect_format(spark: SparkSession, paths: Paths, peek: bool = True) -> DataF
     return firsts.selectExpr("file", "IF(first = '[', 'array', 'ndjson') AS format")
 
 
-def scan_events(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Events of a file or folder in which arrays, lines and compressed files may be mixed.
+def _by_format(spark: SparkSession, path: str, peek: bool, readers: dict[str, Callable[[Paths], DataFrame]]) -> DataFrame:
+    """Union of the readers over the files of their format.
 
     The file names per format go to the reader the way Spark's own file listing does; a folder of one
     format is read by its own path.
     """
-    found = [(r["format"], r["file"]) for r in detect_format(spark, path).collect()]
-    kinds = sorted({k for k, _ in found})
-    parts = []
-    for kind in kinds:
-        paths: Paths = path if len(kinds) == 1 else [f for k, f in found if k == kind]
-        parts.append((scan_json_array if kind == "array" else scan_ndjson)(spark, paths, strict))
-    if not parts:
-        return scan_ndjson(spark, path, strict)
+    found = [(r["format"], r["file"]) for r in detect_format(spark, path, peek).collect()]
+    kinds = sorted({k for k, _ in found}) or ["ndjson"]
+    parts = [readers[kind](path if len(kinds) == 1 else [f for k, f in found if k == kind]) for kind in kinds]
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def scan_events(spark: SparkSession, path: str, strict: bool = False, peek: bool = True) -> DataFrame:
+    """Events of a file or folder in which arrays, lines and compressed files may be mixed."""
+    return _by_format(spark, path, peek, {"array": lambda p: scan_json_array(spark, p, strict), "ndjson": lambda p: scan_ndjson(spark, p, strict)})
+
+
+def scan_array_records(spark: SparkSession, paths: Paths) -> DataFrame:
+    """(value, file): the text of every element of one JSON array per file.
+
+    Such a file is one unit of work. One that is not an array to its end is a single record, so that nothing
+    of it is lost without a trace.
+    """
+    whole = spark.read.option("recursiveFileLookup", True).text(paths, wholetext=True).select(
+        F.regexp_replace("value", r"^\x{FEFF}", "").alias("value"), F.col("_metadata.file_path").alias("file"))
+    elements = F.coalesce(F.from_json("value", "array<string>"), F.array("value"))
+    return whole.filter("length(trim(value)) > 0").select(F.explode(elements).alias("value"), "file")
+
+
+def scan_records(spark: SparkSession, path: str, peek: bool = True) -> DataFrame:
+    """(value, file): the text of every record under ``path``, for ``parse_lines``; formats may be mixed as in ``scan_events``."""
+    return _by_format(spark, path, peek, {"array": lambda p: scan_array_records(spark, p), "ndjson": lambda p: scan_lines(spark, p)})
+
+
 def scan_summarized(spark: SparkSession, paths: Paths) -> DataFrame:
     """Pre-aggregated logs, one object per file: one row per stage."""
     logs = spark.read.schema(SUMMARY_DDL).option("multiLine", True).json(paths)

@@ -12,15 +12,25 @@ from pyspark.sql import functions as F
 TIME = "coalesce(Timestamp, Time)"
 
 
-def attach_app_ids(events: DataFrame) -> DataFrame:
-    """``app_id`` of each file: the id in its start event, else the base name of the file.
+#: The log a file belongs to: the folder of a rolling log, else the file itself.
+LOG = "regexp_replace(file, '(/eventlog_v2_[^/]+)/events_[0-9]+_[^/]+$', '$1')"
 
-    The (file, id) table has one row per application.  It is joined without a hint: the planner broadcasts it when it
+
+def log_ids(events: DataFrame) -> DataFrame:
+    """(log, app_id) of every log with a start event; one row per application."""
+    starts = events.filter("Event = 'SparkListenerApplicationStart' AND `App ID` IS NOT NULL")
+    return starts.groupBy(F.expr(LOG).alias("log")).agg(F.expr("min(`App ID`) AS app_id"))
+
+
+def attach_app_ids(events: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """``app_id`` of each log: the id in its start event, else the base name of the file or rolling folder.
+
+    ``ids`` (see ``log_ids``) may come from storage.  It is joined without a hint: the planner broadcasts it when it
     is small, and otherwise splits the rows of large files across tasks.
     """
-    ids = events.filter("Event = 'SparkListenerApplicationStart' AND `App ID` IS NOT NULL").groupBy("file").agg(F.expr("min(`App ID`) AS app_id"))
-    base = "regexp_replace(element_at(split(file, '/'), -1), '([.](json|ndjson|txt|gz|log))+$', '')"
-    return events.join(ids, "file", "left").withColumn("app_id", F.expr(f"coalesce(app_id, {base})"))
+    ids = log_ids(events) if ids is None else ids
+    base = "regexp_replace(regexp_replace(element_at(split(log, '/'), -1), '([.](json|ndjson|txt|gz|bz2|log))+$', ''), '^eventlog_v2_', '')"
+    return events.withColumn("log", F.expr(LOG)).join(ids, "log", "left").withColumn("app_id", F.expr(f"coalesce(app_id, {base})")).drop("log")
 
 
 def _of(events: DataFrame, *names: str) -> DataFrame:

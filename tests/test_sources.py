@@ -1,9 +1,11 @@
+import bz2
 import gzip
 import json
 
 import pytest
 from conftest import small_log, write_array, write_lines
 
+from eventlens.plans.corpus import Corpus
 from eventlens.sources import normalize, readers, tables
 from eventlens.streaming import live
 
@@ -52,6 +54,40 @@ def test_strict_mode_raises(spark, tmp_path):
         normalize.strict(readers.scan_ndjson(spark, str(tmp_path / "y"))).collect()
 
 
+def test_a_loaded_corpus_keeps_every_record(spark, tmp_path):
+    extra = {"Event": "SparkListenerTaskEnd", "Stage ID": 1, "Own": {"x": 5}}
+    write_lines(tmp_path / "log" / "a.json", [*small_log("app-a"), extra, "not json", '{"Timestamp": 4}'])
+    (tmp_path / "log" / "b.json.bz2").write_bytes(bz2.compress(json.dumps(small_log("app-b"), indent=1).encode()))
+    (tmp_path / "log" / "cut.json").write_text('[{"Event": "SparkListenerApplicationEnd", "Time')
+    for peek in (True, False):
+        corpus = Corpus.load(spark, str(tmp_path / "log"), peek=peek)
+        assert sorted(r.app_id for r in corpus.applications.collect()) == ["app-a", "app-b"]
+        assert corpus.events.count() == 2 * len(small_log()) + 1 and corpus.tasks.where("app_id = 'app-b'").count() == 10
+        assert sorted((r.app_id, r.reason) for r in corpus.rejected.collect()) == [("app-a", "malformed"), ("app-a", "no event name"), ("cut", "malformed")]
+        s = {r.app_id: r for r in corpus.parse_statistics.collect()}["app-a"]
+        assert (s.kept_untyped, s.missing_event, s.malformed) == (1, 1, 1)
+        own = corpus.events.where("NOT is_valid").selectExpr(f"{normalize.open_field('$.Own.x', 'int')} AS x").collect()
+        assert [r.x for r in own] == [5]
+
+
+@pytest.mark.parametrize("bad", ["not json", '{"Timestamp": 4}', '{"Event": "SparkListenerTaskEnd", "Stage ID": 1}'])
+def test_strict_load_raises(spark, tmp_path, bad):
+    write_lines(tmp_path / "a.json", [small_log()[0], bad])
+    with pytest.raises(Exception):
+        Corpus.load(spark, str(tmp_path), strict=True)
+
+
+def test_rolling_log_is_one_application(spark, tmp_path):
+    log = small_log("app-r")
+    for folder, events in (("eventlog_v2_app-r", log), ("eventlog_v2_lost", log[1:])):
+        name = folder.removeprefix("eventlog_v2_")
+        write_lines(tmp_path / folder / f"events_1_{name}", events[:8])
+        write_lines(tmp_path / folder / f"events_2_{name}", events[8:])
+    corpus = Corpus.load(spark, str(tmp_path))
+    assert sorted(r.app_id for r in corpus.applications.collect()) == ["app-r", "lost"]
+    assert corpus.tasks.where("app_id = 'app-r'").count() == 10
+
+
 def test_gzip(spark, tmp_path):
     with gzip.open(tmp_path / "x.gz", "wt") as f:
         f.write("\n".join(json.dumps(e) for e in small_log()))
