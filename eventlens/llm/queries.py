@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-TOKENIZER = "word_bpe_49k.json"
+from eventlens.llm.centroids import oracle_sql as centroid_sql
+
+TOKENIZER, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def tokenizer_path() -> str:
@@ -15,6 +17,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(PIECE_MODEL)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -79,6 +87,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlens.llm.whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlens.llm.centroids import clustered
+
+    return clustered(table(spark, sf_dir, "embeddings")).drop("n_distances")
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from eventlens.llm.pieces import digests
+
+    return digests(table(spark, sf_dir, "documents"), piece_model_path())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,6 +112,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secrets, op2_language, op3_surrogates, op4_multi_index, op5_spotsigs, op6_packing, op7_minhash, op8_toxicity, op9_html_tree, op10_bpe, pipeline)
+    f.__name__: f for f in (op1_secrets, op2_language, op3_surrogates, op4_multi_index, op5_spotsigs, op6_packing, op7_minhash, op8_toxicity, op9_html_tree, op10_bpe,
+                                    op11_whitening, op12_centroids, op13_pieces, pipeline)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_centroids": centroid_sql()}
