@@ -13,27 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.schema import CORRUPT, SUMMARY_DDL, event_schema
+from eventlens.sources.arrays import array_elements
 
 Paths = str | list[str]
 
 
-def _json(spark: SparkSession, paths: Paths, multi_line: bool, strict: bool) -> DataFrame:
+def scan_ndjson(spark: SparkSession, paths: Paths, strict: bool = False) -> DataFrame:
+    """One JSON object per line; large files are read in parallel splits."""
     # FAILFAST needs no corrupt-record column
-    schema = event_schema()
-    reader = spark.read.schema(schema).option("multiLine", multi_line).option("mode", "FAILFAST" if strict else "PERMISSIVE")
+    reader = spark.read.schema(event_schema()).option("mode", "FAILFAST" if strict else "PERMISSIVE")
     # a folder such as app_id=x is a place, not a column
     reader = reader.option("recursiveFileLookup", True)
     return reader.option("columnNameOfCorruptRecord", CORRUPT).json(paths).select("*", F.col("_metadata.file_path").alias("file"))
 
 
-def scan_ndjson(spark: SparkSession, paths: Paths, strict: bool = False) -> DataFrame:
-    """One JSON object per line; large files are read in parallel splits."""
-    return _json(spark, paths, False, strict)
-
-
 def scan_json_array(spark: SparkSession, paths: Paths, strict: bool = False) -> DataFrame:
-    """One JSON array per file; such a file is one unit of work, so convert large ones once."""
-    return _json(spark, paths, True, strict)
+    """One JSON array per file; large files are read in parallel splits (see ``arrays``)."""
+    return parse_lines(array_elements(spark, paths), strict).select(*event_schema().names, "file")
 
 
 def scan_lines(spark: SparkSession, paths: Paths) -> DataFrame:
@@ -128,21 +124,9 @@ def scan_events(spark: SparkSession, path: str, strict: bool = False, peek: bool
     return _by_format(spark, path, peek, {"array": lambda p: scan_json_array(spark, p, strict), "ndjson": lambda p: scan_ndjson(spark, p, strict)})
 
 
-def scan_array_records(spark: SparkSession, paths: Paths) -> DataFrame:
-    """(value, file): the text of every element of one JSON array per file.
-
-    Such a file is one unit of work. One that is not an array to its end is a single record, so that nothing
-    of it is lost without a trace.
-    """
-    whole = spark.read.option("recursiveFileLookup", True).text(paths, wholetext=True).select(
-        F.regexp_replace("value", r"^\x{FEFF}", "").alias("value"), F.col("_metadata.file_path").alias("file"))
-    elements = F.coalesce(F.from_json("value", "array<string>"), F.array("value"))
-    return whole.filter("length(trim(value)) > 0").select(F.explode(elements).alias("value"), "file")
-
-
 def scan_records(spark: SparkSession, path: str, peek: bool = True) -> DataFrame:
     """(value, file): the text of every record under ``path``, for ``parse_lines``; formats may be mixed as in ``scan_events``."""
-    return _by_format(spark, path, peek, {"array": lambda p: scan_array_records(spark, p), "ndjson": lambda p: scan_lines(spark, p)})
+    return _by_format(spark, path, peek, {"array": lambda p: array_elements(spark, p), "ndjson": lambda p: scan_lines(spark, p)})
 
 
 def scan_summarized(spark: SparkSession, paths: Paths) -> DataFrame:
