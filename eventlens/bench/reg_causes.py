@@ -201,6 +201,21 @@ def _chain_view(df):
 register("primary_symptom", lambda s, d: H.primary_symptom(S.stage_details(BenchCorpus(s, d).stages, BenchCorpus(s, d).tasks)).selectExpr("app_id", "stage_id", *SYM), hq(
     "SELECT app_id, stage_id, symptom_type, symptom_severity, symptom_text FROM ch"))
 register("failure_chain", lambda s, d: _chain_view(chains(s, d).filter("status = 'FAILED'")), hq(f"SELECT {_SQL_CHAIN} FROM ch WHERE status = 'FAILED'"))
+SPANS = {"1 s": 1000, "1 h": 3_600_000, "3 d": NEAR_MS}
+
+
+def _near(s, d):
+    """Tasks that ended close to the end of a failed stage, for three widths."""
+    c = BenchCorpus(s, d)
+    ends = S.stage_details(c.stages, c.tasks).filter("status = 'FAILED' AND completion_ms IS NOT NULL")
+    spans = ends.selectExpr("app_id", "stage_id", "completion_ms", "explode(array(" + ", ".join(f"struct('{name}' AS within, {ms}L AS ms)" for name, ms in SPANS.items()) + ")) AS w")
+    counted = H.counted_between(c.tasks.selectExpr("app_id", "finish_ms AS ts_ms"), spans.selectExpr("app_id", "stage_id", "w.within", "completion_ms - w.ms AS lo", "completion_ms + w.ms AS hi"))
+    return counted.selectExpr("within", "app_id", "stage_id", "n AS tasks_ended")
+
+
+register("tasks_near_failure", _near, hq(" UNION ALL ".join(
+    f"""SELECT '{name}' AS within, app_id, stage_id, (SELECT count(*) FROM tasks t WHERE t.app_id = sd.app_id AND abs(t.finish_ms - sd.completion_ms) <= {ms}) AS tasks_ended
+    FROM sd WHERE status = 'FAILED' AND completion_ms IS NOT NULL""" for name, ms in SPANS.items())))
 register("failure_chain_nearby", lambda s, d: _chain_view(chains(s, d, NEAR_MS).filter("status = 'FAILED'")), hq(f"SELECT {_SQL_CHAIN} FROM ch WHERE status = 'FAILED'", NEAR_CTES))
 register("performance_chain", lambda s, d: _chain_view(chains(s, d).filter("status <> 'FAILED' AND size(issues) > 0")), hq(
     f"SELECT {_SQL_CHAIN} FROM ch WHERE status <> 'FAILED' AND symptom_type <> 'NO_ISSUE'"))

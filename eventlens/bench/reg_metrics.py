@@ -4,6 +4,7 @@ from eventlens.bench import views as v
 from eventlens.bench.registry import register
 from eventlens.bench.sqltext import big, query, r6
 from eventlens.operators import metrics as M
+from eventlens.plans.stash import stash
 
 
 def _r(*names):
@@ -20,6 +21,10 @@ register("task_stats", lambda s, d: M.task_stats(v.tasks(s, d)), query(
 register("task_percentiles", lambda s, d: M.task_percentiles(v.tasks(s, d)), query(
     f"SELECT app_id, {_r('p25', 'p50', 'p75', 'p90', 'p95', 'p99')} FROM m"))
 register("task_percentiles_approx", lambda s, d: M.approximate_quantiles(v.tasks(s, d)))
+_P = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+# sketches of stages, merged to applications: every rank must lie within the bound
+register("sketch_rank_errors", lambda s, d: M.sketch_rank_errors(v.tasks(s, d), stash(M.duration_sketches(v.tasks(s, d)))).drop("rank_error"), query(
+    "SELECT app_id, name, count(*) AS total, true AS within_bound FROM tasks, (SELECT unnest([" + ", ".join(f"'{n}'" for n in _P) + "]) AS name) WHERE duration_ms > 0 GROUP BY 1, 2"))
 register("task_skew_ratio", lambda s, d: M.task_skew_ratio(v.tasks(s, d)), query(
     f"SELECT app_id, {_r('task_skew_ratio', 'coefficient_of_variation')} FROM m"))
 register("stragglers_iqr", lambda s, d: M.stragglers(v.tasks(s, d)), query(
@@ -69,7 +74,7 @@ register("stage_failure_rate", lambda s, d: M.stage_failure_rate(v.stages(s, d))
 register("correlations", lambda s, d: M.correlations(v.tasks(s, d)), query(
     f"SELECT app_id, {_r('gc_vs_duration', 'spill_vs_gc', 'shuffle_vs_duration')} FROM m"))
 _TH = """th AS (SELECT app_id, 'task_duration_ms' AS metric, duration_ms AS x FROM tasks
-  UNION ALL SELECT app_id, 'task_gc_permille', CASE WHEN run_ms = 0 THEN 0 ELSE gc_ms * 1000 // run_ms END FROM tasks
+  UNION ALL SELECT app_id, 'task_gc_ratio', CASE WHEN run_ms = 0 THEN 0 ELSE CAST(gc_ms AS DOUBLE) / run_ms END FROM tasks
   UNION ALL SELECT app_id, 'task_spill_bytes', mem_spill_bytes FROM tasks)"""
 register("dynamic_thresholds", lambda s, d: M.dynamic_thresholds(v.tasks(s, d)), query(
     f"SELECT app_id, metric, {r6('quantile_cont(x, 0.75) + 1.5 * (quantile_cont(x, 0.75) - quantile_cont(x, 0.25))')} AS outlier_fence, "

@@ -1,10 +1,12 @@
 """Registry of stage and job queries."""
 
+from eventlens.bench import views as v
 from eventlens.bench.registry import register
 from eventlens.bench.sqltext import big, div, fbytes, fdur, num, pct, query, r6, transformation
 from eventlens.bench.views import BenchCorpus
 from eventlens.operators import stages as S
 from eventlens.operators.stages import ISSUE_CATEGORIES
+from eventlens.plans.stash import stash
 
 WIDE = "('join', 'groupBy', 'shuffle', 'wide')"
 
@@ -117,12 +119,35 @@ register("stage_summary", lambda s, d: S.stage_summary(details(s, d)), sq(
 register("job_summary", lambda s, d: S.job_summary(BenchCorpus(s, d).jobs), sq(
     "SELECT app_id, count(*) AS total_jobs, count(*) FILTER (status = 'FAILED') AS failed_jobs, count(*) FILTER (status <> 'FAILED') AS successful_jobs FROM jobs GROUP BY 1"))
 register("stage_lineage", lambda s, d: S.stage_lineage(BenchCorpus(s, d).stages), "WITH RECURSIVE " + sq(
-    """SELECT e.app_id, e.stage_id, e.parent_id, p.status AS parent_status, CAST(dp.depth AS BIGINT) AS depth FROM ed e
+    """SELECT e.app_id, e.stage_id, e.parent_id, p.status AS parent_status, CAST(dp.depth AS BIGINT) AS depth, false AS cyclic FROM ed e
     JOIN (SELECT app_id, stage_id, max(depth) AS depth FROM rc GROUP BY 1, 2) dp USING (app_id, stage_id)
     LEFT JOIN st p ON p.app_id = e.app_id AND p.stage_id = e.parent_id""",
     "ed AS (SELECT app_id, stage_id, unnest(parent_ids) AS parent_id FROM st)",
     """rc AS (SELECT DISTINCT app_id, stage_id, 1 AS depth FROM ed
     UNION SELECT ed.app_id, ed.stage_id, rc.depth + 1 FROM ed JOIN rc ON rc.app_id = ed.app_id AND rc.stage_id = ed.parent_id)""").removeprefix("WITH "))
+# a chain of 300 stages, its numbers taken from the orders, beside the wide graphs of the applications
+_CHAIN = "SELECT DISTINCT 'app-chain' AS app_id, o_orderkey % 300 AS stage_id FROM orders"
+
+
+def _chained(s, d):
+    wide = v.stages(s, d)
+    chain = v._read(s, d, "orders").selectExpr("'app-chain' AS app_id", "o_orderkey % 300 AS stage_id").distinct().selectExpr(
+        "*", "0L AS attempt", "'link' AS name", "1L AS num_tasks", "IF(stage_id = 0, array(), array(stage_id - 1)) AS parent_ids", "0L AS submission_ms", "true AS is_submitted",
+        "true AS is_completed", "1L AS completion_ms", "CAST(NULL AS STRING) AS failure_reason", "CAST(array() AS ARRAY<STRING>) AS rdd_names", "'SUCCESS' AS status")
+    return wide.unionByName(chain)
+
+
+def _ancestors(s, d):
+    rows = stash(_chained(s, d))
+    return S.ancestors_of(rows, rows.where("stage_id % 50 = 49 OR stage_id > 390").select("app_id", "stage_id"))
+
+
+register("ancestors_of", _ancestors, "WITH RECURSIVE " + sq(
+    """SELECT app_id, stage_id, ancestor_id, min(hops) AS hops FROM up GROUP BY 1, 2, 3""",
+    f"""ed AS (SELECT DISTINCT app_id, stage_id, unnest(parent_ids) AS parent_id FROM st
+    UNION SELECT app_id, stage_id, stage_id - 1 FROM ({_CHAIN}) WHERE stage_id > 0)""",
+    """up AS (SELECT app_id, stage_id, parent_id AS ancestor_id, CAST(1 AS BIGINT) AS hops FROM ed WHERE stage_id % 50 = 49 OR stage_id > 390
+    UNION SELECT up.app_id, up.stage_id, ed.parent_id, up.hops + 1 FROM up JOIN ed ON ed.app_id = up.app_id AND ed.stage_id = up.ancestor_id)""").removeprefix("WITH "))
 register("stage_gc_series", lambda s, d: S.stage_gc_series(details(s, d)), sq(
     f"""SELECT app_id, stage_id, 'Stage ' || stage_id AS label, {r6('gc_ratio * 100')} AS gc_percent, CASE WHEN gc_ratio * 100 > 25 THEN 'critical'
     WHEN gc_ratio * 100 > 15 THEN 'high' WHEN gc_ratio * 100 > 10 THEN 'medium' ELSE 'low' END AS band FROM sd"""))

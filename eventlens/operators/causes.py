@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventlens.functions.text import (format_bytes, format_duration, is_executor_failure, links, lit, num, percent, ratio, severity_rank, str_map)
@@ -229,18 +229,38 @@ def chain_confidence(chain: str = "chain") -> str:
             f"+ IF(exists({chain}, l -> contains(l.event, 'ROOT CAUSE')), 0.1D, 0D), 1D) END")
 
 
-def nearby_executor_failures(details: DataFrame, executor_events: DataFrame, within_ms: int) -> DataFrame:
-    """Failed executors within ``within_ms`` of the end of a failed stage.
+#: Width of the time buckets of running counts. A bucket holds at most so many distinct times, however many events come at one.
+BUCKET_MS = 60_000
+
+
+def counted_between(events: DataFrame, spans: DataFrame, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """``spans`` (app_id, lo, hi, ...) with ``n``, the number of ``events`` (app_id, ts_ms) from ``lo`` to ``hi``, both included.
 
-    Both sides are cut into time buckets of that width and joined on (application, bucket), so neither
-    a cross join nor a whole application in one task is needed.
+    A sweep: the number up to ``hi`` less the number before ``lo``, from running counts over the times of both tables together,
+    so no pair of an event and a span is formed. Events are first added up per time. Counts run inside time buckets, on top of
+    what the buckets before hold; that is a sum over one row for each bucket, so an application is never one task's events.
+    Spans with a null end count 0, as do those that end before they begin.
     """
+    step = int(bucket_ms)
+    at = events.filter("ts_ms IS NOT NULL").groupBy("app_id", F.col("ts_ms").alias("at")).agg(F.count("*").alias("n"))
+    ends = spans.filter("lo <= hi").select("app_id", "lo", "hi").distinct()
+    probes = ends.selectExpr("app_id", "lo", "hi", "explode(array(struct(lo - 1 AS at, -1L AS sign), struct(hi AS at, 1L AS sign))) AS p").select("app_id", "p.at", "p.sign", "lo", "hi")
+    marks = at.selectExpr("app_id", "at", "n", "0L AS sign", "CAST(NULL AS BIGINT) AS lo", "CAST(NULL AS BIGINT) AS hi").unionByName(probes.withColumn("n", F.lit(0).cast("long")))
+    marks = marks.withColumn("bucket", F.floor(F.col("at") / step))
+    before = F.sum("held").over(Window.partitionBy("app_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    carried = marks.groupBy("app_id", "bucket").agg(F.sum("n").alias("held")).select("app_id", "bucket", F.coalesce(before, F.lit(0)).alias("carried"))
+    running = F.sum("n").over(Window.partitionBy("app_id", "bucket").orderBy("at").rangeBetween(Window.unboundedPreceding, 0))  # equal times count together
+    upto = marks.withColumn("upto", running).filter("sign <> 0").join(carried, ["app_id", "bucket"])
+    counts = upto.groupBy("app_id", "lo", "hi").agg(F.sum(F.expr("sign * (upto + carried)")).alias("n"))
+    return spans.join(counts, ["app_id", "lo", "hi"], "left").fillna(0, ["n"])
+
+
+def nearby_executor_failures(details: DataFrame, executor_events: DataFrame, within_ms: int) -> DataFrame:
+    """Number of failed executors within ``within_ms`` of the end of a failed stage; stages without one are left out."""
     step = int(within_ms)
-    ends = details.filter("status = 'FAILED' AND completion_ms IS NOT NULL").selectExpr(
-        "app_id", "stage_id", "completion_ms", f"explode(sequence(completion_ms div {step} - 1, completion_ms div {step} + 1)) AS bucket")
-    lost = executor_events.filter(f"kind = 'REMOVED' AND {is_executor_failure('reason')}").selectExpr("app_id", "ts_ms", f"ts_ms div {step} AS bucket")
-    near = ends.join(lost, ["app_id", "bucket"]).filter(f"abs(ts_ms - completion_ms) <= {step}")
-    return near.groupBy("app_id", "stage_id").agg(F.expr("count(1) AS executor_failures"))
+    ends = details.filter("status = 'FAILED' AND completion_ms IS NOT NULL").selectExpr("app_id", "stage_id", f"completion_ms - {step} AS lo", f"completion_ms + {step} AS hi")
+    lost = executor_events.filter(f"kind = 'REMOVED' AND {is_executor_failure('reason')}").select("app_id", "ts_ms")
+    return counted_between(lost, ends).filter("n > 0").selectExpr("app_id", "stage_id", "n AS executor_failures")
 
 
 def cause_chains(details: DataFrame, failure_counts: DataFrame, correlations: DataFrame, near: DataFrame | None = None) -> DataFrame:

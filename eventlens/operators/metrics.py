@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventlens.functions.stats import grouped_quantiles, guarded_corr, value_counts
+from eventlens.functions.stats import grouped_quantiles, guarded_corr, merged_sketches, rank_error, rank_sketches, sketch_quantiles, value_counts
 from eventlens.functions.text import ladder, ratio
 
 PERCENTILES = {"p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99}
@@ -110,6 +110,21 @@ def approximate_quantiles(tasks: DataFrame, accuracy: int = 10000) -> DataFrame:
     return out.selectExpr("app_id", *[f"CAST(q[{i}] AS DOUBLE) AS {n}" for i, n in enumerate(PERCENTILES)])
 
 
+def duration_sketches(tasks: DataFrame, keys: tuple[str, ...] = ("app_id", "stage_id")) -> DataFrame:
+    """A mergeable sketch of task durations for each stage, to be stored beside a log and put together later."""
+    return rank_sketches(tasks.filter("duration_ms > 0"), list(keys), "duration_ms")
+
+
+def sketch_rank_errors(tasks: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(app_id, name, total, rank_error, within_bound): how far each quantile of the merged sketches is from its true rank, as a share of the tasks."""
+    found = sketch_quantiles(merged_sketches(sketches, ["app_id"]), ["app_id"], PERCENTILES)
+    long = found.selectExpr("app_id", "total", f"stack({len(PERCENTILES)}, {', '.join(f'{chr(39)}{n}{chr(39)}, {p}D, {n}' for n, p in PERCENTILES.items())}) AS (name, p, q)")
+    below = tasks.filter("duration_ms > 0").join(long, "app_id").groupBy("app_id", "name", "p", "total").agg(
+        F.expr("count_if(duration_ms < q) AS less"), F.expr("count_if(duration_ms <= q) AS upto"))
+    off = "greatest(less / CAST(total AS DOUBLE) - p, p - upto / CAST(total AS DOUBLE), 0D)"  # any rank of equal values will do
+    return below.selectExpr("app_id", "name", "total", f"{off} AS rank_error", f"{off} <= {rank_error()}D AS within_bound")
+
+
 def task_stats(tasks: DataFrame) -> DataFrame:
     """Count, mean, median, sample deviation, minimum, maximum and range of task durations."""
     base = _agg(tasks, ["app_id"], AGGREGATES["task"]).selectExpr("*", "max_task_duration - min_task_duration AS duration_range")
@@ -128,7 +143,7 @@ def task_skew_ratio(tasks: DataFrame) -> DataFrame:
 def _with_stragglers(counts: DataFrame, probs: dict[str, float]) -> DataFrame:
     """Quantiles plus the tasks above p75 + 1.5 IQR, counted on the (duration, count) table instead of the tasks.
 
-    ``counts`` is used three times, each time with the same columns, so its shuffle runs once.
+    ``counts`` is a stored table, so the tasks are read once however often it is used.
     """
     fences = grouped_quantiles(counts, ["app_id"], probs).selectExpr("*", "p75 + 1.5D * (p75 - p25) AS outlier_threshold")
     out = _agg(counts.join(fences, "app_id"), ["app_id"], {q: f"max({q})" for q in (*probs, "outlier_threshold")} | {
@@ -196,10 +211,12 @@ def correlations(tasks: DataFrame) -> DataFrame:
 
 
 def dynamic_thresholds(tasks: DataFrame) -> DataFrame:
-    """(app_id, metric, outlier_fence, p95) of duration, GC share in per mille and spilled bytes per task."""
-    rows = tasks.selectExpr("app_id", """explode(map(
-        'task_duration_ms', greatest(duration_ms, 0), 'task_gc_permille', greatest(coalesce(CAST(try_divide(gc_ms * 1000, run_ms) AS BIGINT), 0), 0),
-        'task_spill_bytes', greatest(mem_spill_bytes, 0))) AS (metric, v)""")
+    """(app_id, metric, outlier_fence, p95) of duration, GC share of the run time and spilled bytes per task, unrounded.
+
+    A task without run time has GC share 0. Negative values, which only damaged logs have, take part as they are.
+    """
+    rows = tasks.selectExpr("app_id", """explode(map('task_duration_ms', CAST(duration_ms AS DOUBLE), 'task_gc_ratio', coalesce(try_divide(CAST(gc_ms AS DOUBLE), run_ms), 0D),
+        'task_spill_bytes', CAST(mem_spill_bytes AS DOUBLE))) AS (metric, v)""")
     q = grouped_quantiles(value_counts(rows, ["app_id", "metric"], "v"), ["app_id", "metric"], {"p25": 0.25, "p75": 0.75, "p95": 0.95})
     return q.selectExpr("app_id", "metric", "p75 + 1.5D * (p75 - p25) AS outlier_fence", "p95")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventlens.functions.graph import lifts, longest_walks, reached
 from eventlens.functions.text import WIDE_TYPES, format_bytes, format_duration, links, num, percent, ratio, severity_rank, transformation
 from eventlens.plans.stash import stash
 
@@ -186,37 +187,33 @@ def job_summary(jobs: DataFrame) -> DataFrame:
 
 
 def stage_edges(stages: DataFrame) -> DataFrame:
-    """(app_id, stage_id, parent_id); a parent always has the smaller id, other pairs are dropped as damaged."""
-    return stage_table(stages).selectExpr("app_id", "stage_id", "explode(parent_ids) AS parent_id").filter("parent_id < stage_id").distinct()
+    """(app_id, stage_id, parent_id) of the parents named by each stage, whatever their ids."""
+    return stage_table(stages).selectExpr("app_id", "stage_id", "explode(parent_ids) AS parent_id").filter("parent_id IS NOT NULL").distinct()
 
 
 def stage_lineage(stages: DataFrame) -> DataFrame:
-    """Parent edges with the parent's status and the depth of the stage (longest path from a root).
+    """Parent edges with the parent's status, the depth of the stage (longest path from a root) and a cycle flag.
 
-    Level by level: each round keeps one row per reached stage, so shared ancestors do not multiply
-    paths; the frontier is written between rounds so the plan does not grow.  Ids fall along
-    every edge, so the rounds end.
+    Damaged logs may hold a cycle: stages on it, or with an ancestor on it, have no depth and ``cyclic`` is true. The number
+    of rounds grows with the logarithm of the depth (see ``functions.graph``).
     """
-    table = stage_table(stages).select("app_id", "stage_id", "status")
+    table = stage_table(stages).selectExpr("app_id", "stage_id AS parent_id", "status AS parent_status")
     edges = stash(stage_edges(stages))
-    spark = stages.sparkSession
-    level, depth, reached = edges, 0, []
-    while True:
-        level = stash(level.selectExpr("app_id", "stage_id").distinct())
-        if level.isEmpty():
-            break
-        depth += 1
-        reached.append(level.selectExpr("app_id", "stage_id", f"{depth} AS depth"))
-        level = edges.join(level.withColumnRenamed("stage_id", "parent_id"), ["app_id", "parent_id"])
-    if not reached:
-        return spark.createDataFrame([], "app_id STRING, stage_id BIGINT, parent_id BIGINT, parent_status STRING, depth INT")
-    rows = reached[0]
-    for more in reached[1:]:
-        rows = rows.unionAll(more)
-    depths = rows.groupBy("app_id", "stage_id").agg(F.max("depth").alias("depth"))
-    parents = table.withColumnsRenamed({"stage_id": "parent_id", "status": "parent_status"})
-    return edges.join(depths, ["app_id", "stage_id"]).join(parents, ["app_id", "parent_id"], "left").select(
-        "app_id", "stage_id", "parent_id", "parent_status", "depth")
+    steps, most = lifts(edges, "app_id", "stage_id", "parent_id")
+    if not steps:
+        return stages.sparkSession.createDataFrame([], "app_id STRING, stage_id BIGINT, parent_id BIGINT, parent_status STRING, depth BIGINT, cyclic BOOLEAN")
+    depths = longest_walks(steps, most, "app_id", "stage_id", "parent_id")
+    return edges.join(depths, ["app_id", "stage_id"]).join(table, ["app_id", "parent_id"], "left").select(
+        "app_id", "stage_id", "parent_id", "parent_status", "depth", "cyclic")
+
+
+def ancestors_of(stages: DataFrame, wanted: DataFrame, hops: int | None = None) -> DataFrame:
+    """(app_id, stage_id, ancestor_id, hops) of the stages in ``wanted`` (app_id, stage_id), with the least number of edges.
+
+    ``hops`` bounds the number of edges. A stage that is its own ancestor lies on a cycle.
+    """
+    steps, _ = lifts(stage_edges(stages), "app_id", "stage_id", "parent_id")
+    return reached(steps, wanted, "app_id", "stage_id", "parent_id", hops).withColumnRenamed("parent_id", "ancestor_id")
 
 
 def stage_gc_series(details: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventlens.plans.stash import stash
@@ -24,28 +24,37 @@ MANY_SPLITS = 1_000_000
 #: Longest text put together from several splits; a longer one is returned in its parts.
 LONGEST = 1 << 28
 
-_PIECE = "file string, block long, id long, parity int, outside int, inside int"
-
-
-def _brackets(text: Column) -> Column:
-    """Openings less closings. A piece holds no closing brace."""
-    return (F.length(F.translate(text, "]", "")) - F.length(F.translate(text, "[{", ""))).cast("int")
+def pieces(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(value, file, block, id, size, whole_file): the text before each closing brace; ``block`` and ``id`` give its place, ``whole_file`` says that the split is all of its file."""
+    text = spark.read.option("recursiveFileLookup", True).option("lineSep", "}").text(paths)
+    return text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"),
+                       F.col("_metadata.file_size").alias("size"), (F.col("_metadata.file_block_length") >= F.col("_metadata.file_size")).alias("whole_file"))
 
 
-def pieces(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(value, file, block, id, size, whole_file, parity, outside, inside): the text before each closing brace, and its transition.
+def transitions(values: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Of each piece: parity of its quotes, openings less closings outside of strings if it starts outside, and if it starts inside; and the bytes of all with a brace each.
 
-    ``block`` and ``id`` give the place; ``whole_file`` says that the split is all of its file.
+    All pieces of the array are looked at together, as bytes: in UTF-8 none of these characters is part of another one.
     """
-    text = spark.read.option("recursiveFileLookup", True).option("lineSep", "}").text(paths)
-    at = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"),
-                     F.col("_metadata.file_size").alias("size"), (F.col("_metadata.file_block_length") >= F.col("_metadata.file_size")).alias("whole_file"))
-    bare = F.regexp_replace("value", r"(?s)\\.", "")
-    strings = r'"[^"]*(?:"|$)'
-    return at.withColumn("bare", bare).select(
-        *at.columns, ((F.length("bare") - F.length(F.translate("bare", '"', ""))) % 2).cast("int").alias("parity"),
-        _brackets(F.regexp_replace("bare", strings, "")).alias("outside"),
-        _brackets(F.regexp_replace(F.regexp_replace("bare", r'^[^"]*(?:"|$)', ""), strings, "")).alias("inside"))
+    n = len(values)
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset:values.offset + n + 1]
+    text = np.frombuffer(values.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    first = offsets - offsets[0]
+    quotes = np.flatnonzero(text == 34)
+    slashes = np.flatnonzero(text == 92)
+    if len(slashes) and len(quotes):  # a quote behind an odd run of backslashes is not one; a run ends with its piece
+        starts = np.flatnonzero(np.r_[True, np.diff(slashes) > 1] | np.isin(slashes, first))
+        after = slashes[np.r_[starts[1:] - 1, len(slashes) - 1]] + 1
+        odd = after[np.diff(np.r_[starts, len(slashes)]) % 2 == 1]
+        quotes = quotes[~np.isin(quotes, np.setdiff1d(odd, first))]
+    up, down = np.flatnonzero((text == 91) | (text == 123)), np.flatnonzero(text == 93)
+    before = np.searchsorted(quotes, first)  # quotes before each piece
+    counts = []
+    for at in (up, down):
+        piece = np.searchsorted(first, at, "right") - 1
+        within = (np.searchsorted(quotes, at) - before[piece]) % 2 == 1
+        counts.append([np.bincount(piece[within == h], minlength=n) for h in (False, True)])
+    return np.diff(before) % 2, counts[0][0] - counts[1][0], counts[0][1] - counts[1][1], len(text) + n
 
 
 def _runs(batch: pa.RecordBatch):
@@ -86,7 +95,7 @@ def split_states(found: DataFrame) -> DataFrame:
                     if key:
                         yield row()
                     key, have = at, {"bytes": 0, "parity": 0, "change": [0, 0], "low": [1 << 40] * 2, "ends": [0, 0], "size": part.column("size")[0].as_py()}
-                parity, outside, inside = (part.column(c).to_numpy() for c in ("parity", "outside", "inside"))
+                parity, outside, inside, size = transitions(part.column("value"))
                 for h in (0, 1):
                     behind, step = _steps(parity, outside, inside, (h + have["parity"]) % 2)
                     depth = have["change"][h] + np.cumsum(step)
@@ -97,12 +106,12 @@ def split_states(found: DataFrame) -> DataFrame:
                         have["low"][h] = low
                     have["change"][h] = int(depth[-1])
                 have["parity"] = (have["parity"] + int(parity.sum())) % 2
-                have["bytes"] += int(part.column("bytes").to_numpy().sum())
+                have["bytes"] += size
         if key:
             yield row()
 
     kinds = "file string, block long, bytes long, parity int, size long, " + ", ".join(f"{n}{h} long" for n in ("change", "low", "ends") for h in (0, 1))
-    several = found.where("NOT whole_file").select("file", "block", "parity", "outside", "inside", "size", (F.octet_length("value") + 1).cast("long").alias("bytes"))
+    several = found.where("NOT whole_file").select("value", "file", "block", "size")
     splits = several.mapInArrow(run, kinds)
     file = Window.partitionBy("file")
     order = file.orderBy("block")
@@ -115,15 +124,30 @@ def split_states(found: DataFrame) -> DataFrame:
                           (F.sum("bytes").over(file) == F.col("size")).alias("closed"), F.coalesce(F.max("broken").over(before), F.lit(False)).alias("lost"))
 
 
+def _object(values: pa.Array, ordinals: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Segments without the comma before them, on one line; and which of them are now a single object. The first one of an array is left as it is."""
+    text = pc.ascii_ltrim_whitespace(values)
+    lead = pc.and_(pc.starts_with(text, ","), pa.array(ordinals > 0))
+    text = pc.replace_substring_regex(text, r"^,\s*", "", max_replacements=1)
+    if pc.any(pc.or_(pc.match_substring(text, "\n"), pc.match_substring(text, "\r"))).as_py():  # line breaks are never in a string
+        text = pc.replace_substring_regex(text, r"[ \t]*[\r\n]\s*", "")
+    return text, pc.and_(lead, pc.starts_with(text, "{"))
+
+
 def _cut(batches):
-    """Segments of the array: text up to the brace that ends an element. What two splits share comes as parts."""
-    schema = pa.schema([("file", pa.string()), ("ordinal", pa.int64()), ("block", pa.int64()), ("value", pa.string()), ("whole", pa.bool_()), ("final", pa.bool_())])
+    """Segments of the array: text up to the brace that ends an element. ``done`` ones are a single object; what two splits share comes as parts."""
+    schema = pa.schema([("file", pa.string()), ("ordinal", pa.int64()), ("block", pa.int64()), ("value", pa.string()), ("whole", pa.bool_()), ("final", pa.bool_()), ("done", pa.bool_())])
     key, have = None, None
 
     def rows(ordinals, values, whole, final=False):
-        n = len(values)
+        n, done = len(values), pa.array([False] * len(values))
+        whole = pa.array(whole, pa.bool_())
+        if not final and n and ordinals[0] >= 0:
+            text, single = _object(values, np.asarray(ordinals))
+            done = pc.and_(single, whole)
+            values = pc.if_else(done, text, values)
         return pa.RecordBatch.from_arrays([pa.array([key[0]] * n, pa.string()), pa.array(ordinals, pa.int64()), pa.array([key[1]] * n, pa.int64()), values.cast(pa.string()),
-                                           pa.array(whole, pa.bool_()), pa.array([final] * n, pa.bool_())], schema=schema)
+                                           whole, pa.array([final] * n, pa.bool_()), done], schema=schema)
 
     def finish():
         """What is left behind the last element of a split. The last piece of a file has a brace only if the bytes add up to its size."""
@@ -151,7 +175,7 @@ def _cut(batches):
             if have["end_held"]:  # the piece held back was not the last one
                 yield rows([have["ordinal"]], pa.array(["}".join(have["held"]) + "}"]), [have["fresh"]])
                 have.update(held=[], ordinal=have["ordinal"] + 1, fresh=True)
-            parity, outside, inside = (part.column(c).to_numpy() for c in ("parity", "outside", "inside"))
+            parity, outside, inside, size = transitions(part.column("value"))
             behind, step = _steps(parity, outside, inside, have["state"])
             depth = have["depth"] + np.cumsum(step)
             # the last piece may be the end of the file and lack its brace, so it cannot show damage
@@ -176,7 +200,7 @@ def _cut(batches):
                 have.update(ordinal=have["ordinal"] + n, fresh=True)
                 start = int(ends[-1]) + 1
             have["held"] += values.slice(start).to_pylist()
-            have["bytes"] += int(part.column("bytes").to_numpy().sum())
+            have["bytes"] += size
             have["state"], have["depth"] = int(behind[-1]), int(depth[-1])
             if len(broken) and not have["lost"]:
                 have["lost"], have["end_held"] = True, False
@@ -201,18 +225,18 @@ def array_elements(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     many = splits.count()
     states = F.broadcast(splits) if many <= MANY_SPLITS else splits
     at = found.join(states, ["file", "block"], "left").select(
-        "value", "file", "block", "id", "size", "parity", "outside", "inside", (F.octet_length("value") + 1).cast("long").alias("bytes"), F.coalesce("state", F.lit(0)).alias("state"),
+        "value", "file", "block", "id", "size", F.coalesce("state", F.lit(0)).alias("state"),
         F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("ordinal", F.lit(0)).alias("ordinal"), F.coalesce("last", F.lit(True)).alias("last"), "closed",
         F.coalesce("lost", F.lit(False)).alias("lost"))
     if many > MANY_SPLITS:  # a join by shuffle: bring the pieces of a split together again, in order
         at = at.repartition("file", "block").sortWithinPartitions("file", "block", "id")
-    segments = stash(at.mapInArrow(_cut, "file string, ordinal long, block long, value string, whole boolean, final boolean"))
+    segments = stash(at.mapInArrow(_cut, "file string, ordinal long, block long, value string, whole boolean, final boolean, done boolean"))
     parts = segments.where("NOT whole AND ordinal >= 0")
     sizes = parts.groupBy("file", "ordinal").agg(F.sum(F.length("value")).alias("chars"))
     sized = parts.join(sizes, ["file", "ordinal"])
     joined = (sized.where(F.col("chars") <= LONGEST).groupBy("file", "ordinal").agg(F.sort_array(F.collect_list(F.struct("block", "value"))).alias("parts"), F.max("final").alias("final"))
               .select("file", "ordinal", F.expr("array_join(transform(parts, p -> p.value), '')").alias("value"), "final"))
-    whole = segments.where("whole").select("file", "ordinal", "value", "final").unionByName(joined)
+    whole = segments.where("whole AND NOT done").select("file", "ordinal", "value", "final").unionByName(joined)
     lost = segments.where("ordinal < 0").select("value", "file").unionByName(sized.where(F.col("chars") > LONGEST).select("value", "file"))
     head = F.when(F.col("ordinal") == 0, F.regexp_replace("value", r"^\x{FEFF}?\s*\[", "")).otherwise(F.regexp_replace("value", r"^\s*,", ""))
     body = whole.withColumn("body", F.trim(F.regexp_replace(head, r"^\s+|\s+$", "")))
@@ -222,4 +246,5 @@ def array_elements(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     others = done.where("ended AND text <> '' AND (final OR NOT startswith(text, '{'))")
     listed = F.coalesce(F.from_json(F.concat(F.lit("["), "text", F.lit("]")), "array<string>"), F.array("text"))
     cut = done.where("NOT ended").select(F.expr("IF(body = '', '[', body)").alias("value"), "file")
-    return single.unionByName(others.select(F.explode(listed).alias("value"), "file")).unionByName(cut).unionByName(lost.where("length(trim(value)) > 0"))
+    return segments.where("done").select("value", "file").unionByName(single).unionByName(
+        others.select(F.explode(listed).alias("value"), "file")).unionByName(cut).unionByName(lost.where("length(trim(value)) > 0"))
