@@ -14,21 +14,24 @@ from pyspark.sql import functions as F
 from eventlens.llm.secrets import _let, _quoted
 from eventlens.plans.stash import stash
 
-#: type -> pattern, in the order in which a match is named (fixed values of the detector).
+#: type -> pattern, in the order in which a match is named (fixed values of the detector). The look at the first character, and for
+#: addresses at the one before (or the end of the last match), only spares the engine places where no match can begin.
 TYPES = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<![\w(])\(\d{2,4}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d.-])(?:\d{4}[ -]?){3}\d{1,7}(?![\d-])",
-    "person": r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Herr|Frau|Señora|Señor|Sra|Sr|Monsieur|Madame|Mme|Г-н|Г-жа)\.?[  ]\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "ip": r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
+    "iban": r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "phone": r"(?=[+(\d])(?:(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\d)|(?<![\w(])\(\d{2,4}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-]))",
+    "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "card": r"(?=\d)(?<![\d.-])(?:\d{4}[ -]?){3}\d{1,7}(?![\d-])",
+    "person": r"(?=[MHFSГ])(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Herr|Frau|Señora|Señor|Sra|Sr|Monsieur|Madame|Mme|Г-н|Г-жа)\.?[  ]\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?",
 }
 #: Given names by what the honorific says (fixed values); family names are made of syllables.
 GIVEN = {"f": "Anna Clara Elena Emma Helen Irene Julia Laura Lucia Maria Nina Olivia Paula Sara Sofia Vera".split(),
          "m": "Adam Albert Daniel David Erik Felix Hugo Jonas Leo Lucas Martin Oscar Paul Simon Thomas Victor".split()}
 FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Г-жа)"
 SYLLABLES = "ba de fi go ku la me ni po ra se ti vo wa xa zu bel dan fer gol".split()
+#: A character that no text should hold (a Unicode noncharacter); where one does, its digest joins the mark.
+MARK = "\ufdd0"
 ANY = "|".join(f"(?:{p})" for p in TYPES.values())
 #: (first, last code point) of ranges in which a letter is replaced by another of its own script and case.
 SCRIPTS = [(0x41, 0x5A), (0x61, 0x7A), (0x30, 0x39), (0xC0, 0xD6), (0xE0, 0xF6), (0x391, 0x3A1), (0x3B1, 0x3C1), (0x410, 0x42F), (0x430, 0x44F), (0x5D0, 0x5EA), (0x627, 0x64A), (0x3041, 0x3096), (0x30A1, 0x30FA),
@@ -49,16 +52,20 @@ def _stand_in(key: str) -> str:
     same_form = f"array_join(transform(split(body, ''), (c, i) -> CASE {ranges} ELSE c END), '')"
     ip = "array_join(transform(sequence(0, 3), i -> cast(" + _number("stream", "i") + " % 254 + 1 AS string)), '.')"
     given = {g: f"element_at(array({', '.join(repr(x) for x in names)}), {_number('stream', '0')} % {len(names)} + 1)" for g, names in GIVEN.items()}
+    wide = "cast(attempt div 3 AS int)"
     syllable = [f"element_at(array({', '.join(repr(x) for x in SYLLABLES)}), {_number('stream', str(k))} % {len(SYLLABLES)} + 1)" for k in range(1, 5)]
-    family = f"initcap(concat({', '.join(syllable)}))"
+    more = f"array_join(transform(if({wide} > 0, sequence(1, {wide}), array()), w -> element_at(array({', '.join(repr(x) for x in SYLLABLES)}), {_number('stream', '(w + 8)')} % {len(SYLLABLES)} + 1)), '')"
+    family = f"initcap(concat({', '.join(syllable)}, {more}))"
     latin = (f"concat(regexp_extract(norm, '^([^ \\u00a0]+[ \\u00a0])', 1), if(size(split(norm, ' ')) > 2, concat(if(norm RLIKE {_quoted(FEMALE)}, {given['f']}, {given['m']}), ' '), ''), {family})")
-    other = "concat(regexp_extract(norm, '^([^ \\u00a0]+[ \\u00a0])', 1), made)"
+    other = f"concat(regexp_extract(norm, '^([^ \\u00a0]+[ \\u00a0])', 1), made, {more})"
     made = f"CASE WHEN kind = 'ip' THEN {ip} WHEN kind = 'person' THEN if(norm RLIKE '[^\\\\x{{0}}-\\\\x{{24f}}]', {other}, {latin}) ELSE concat(made, tail) END"
     head = {"email": "regexp_extract(norm, '^(.*)\\\\.[^.]*$', 1)", "iban": "substring(norm, 3)", "person": "regexp_replace(norm, '^[^ \\u00a0]+[ \\u00a0]', '')", "phone": "regexp_replace(norm, '^[+][0-9]+', '')"}
     body = "CASE " + " ".join(f"WHEN kind = '{k}' THEN {v}" for k, v in head.items()) + " ELSE norm END"
     tail = "CASE WHEN kind = 'email' THEN regexp_extract(norm, '(\\\\.[^.]*)$', 1) ELSE '' END"
     front = "CASE WHEN kind = 'iban' THEN left(norm, 2) WHEN kind = 'phone' THEN regexp_extract(norm, '^([+][0-9]+)', 1) ELSE '' END"
-    return _let([("seed", seed), ("stream", stream), ("body", body), ("tail", tail), ("front", front), ("made", same_form)], f"concat(front, {made})")
+    # later attempts repeat the last letter or digit, which then gets a stand-in like the others
+    room = f"if(kind = 'person', body, concat(body, repeat(regexp_extract(body, '([A-Za-z0-9])[^A-Za-z0-9]*$', 1), {wide})))"
+    return _let([("seed", seed), ("stream", stream), ("body", body), ("body", room), ("tail", tail), ("front", front), ("made", same_form)], f"concat(front, {made})")
 
 
 #: Letters used of a large script.
@@ -70,9 +77,13 @@ def _range(a: int, b: int) -> str:
 
 
 def detected(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with _pieces and _hits: the text's parts between the entities, and the entities."""
-    p = _quoted(ANY)
-    return docs.withColumn("_pieces", F.expr(f"split(coalesce({text_col}, ''), {p}, -1)")).withColumn("_hits", F.expr(f"regexp_extract_all(coalesce({text_col}, ''), {p}, 0)"))
+    """``docs`` with _parts: the text cut at its entities, which are the second, fourth, ... of the parts. A null text gives one empty part.
+
+    The patterns run once over a text: they set marks that the text does not hold, and the text is cut there.
+    """
+    mark = f"if(contains(t, '{MARK}'), concat('{MARK}', md5(t), '{MARK}'), '{MARK}')"
+    parts = _let([("t", f"coalesce({text_col}, '')"), ("mark", mark)], f"split(regexp_replace(t, {_quoted(ANY)}, concat(mark, '$0', mark)), mark, -1)")
+    return docs.withColumn("_parts", F.expr(parts))
 
 
 def _named(hit: str = "hit") -> tuple[str, str]:
@@ -84,7 +95,9 @@ def stand_ins(hits: DataFrame, key: str) -> DataFrame:
     """(norm, surrogate) for the distinct entities in ``hits`` (column hit).
 
     Attempts go on until no surrogate equals another one or an original: the smallest entity of a collision keeps its
-    surrogate. Everything is a join or an aggregate on values; the driver sees one count a round.
+    surrogate. Later attempts have more room (a further syllable, letter or digit group every third one), so a crowded form
+    comes to an end whatever the number of entities. Everything is a join or an aggregate on values; the driver sees one
+    count a round.
     """
     kind, norm = _named()
     todo = stash(hits.select(F.expr(norm).alias("norm"), F.expr(kind).alias("kind")).distinct())
@@ -101,28 +114,30 @@ def stand_ins(hits: DataFrame, key: str) -> DataFrame:
         done = good if done is None else done.union(good)
         todo = stash(todo.join(good.select("norm"), "norm", "left_anti"))
         attempt += 1
-        if attempt >= 200 or not todo.limit(1).count():
-            break
-    if attempt >= 200:  # a crowded form (few digits): one more place keeps the rest distinct
-        done = done.union(todo.select("norm", F.concat(F.lit("#"), F.sha2("norm", 256)).alias("surrogate")))
-    return done
+        if todo.isEmpty():
+            return done
+        if attempt > 1000:  # only addresses of four numbers cannot grow
+            raise ValueError("more than half of all IP addresses are taken; no distinct surrogates are left")
 
 
 def replaced(docs: DataFrame, key: str = "corpus") -> DataFrame:
-    """``docs`` with entities of ``text`` replaced and their number as n_entities.
+    """``docs`` with entities of ``text`` replaced and their number as n_entities (a column of that name is replaced).
 
-    Texts without an entity pass through without a shuffle. Null texts stay null. Rows are told apart by a number of
-    their own, so repeated ids do no harm. An empty table gives an empty one.
+    Every text is searched once; the cut texts are stored, and only those with an entity take part in the joins. Null texts
+    stay null. Rows are numbered where they are stored, so repeated ids and rows do no harm; working columns are kept
+    in a struct of their own, so no column of ``docs`` clashes with them. An empty table gives an empty one.
     """
-    found = detected(docs)
-    with_hits = found.where("size(_hits) > 0").withColumn("_row", F.expr("concat_ws('-', cast(doc_id AS string), md5(text))"))
-    clean = docs.where(F.expr(f"NOT coalesce(text, '') RLIKE {_quoted(ANY)}")).withColumn("n_entities", F.lit(0).cast("long"))
+    names = [c for c in docs.columns if c != "n_entities"]
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col("text"))
+    cut = detected(own).select("doc", F.when(F.size("_parts") > 1, F.col("_parts")).alias("parts"), F.monotonically_increasing_id().alias("row"))
+    cut = stash(cut)
     _, norm = _named()
-    hits = stash(with_hits.select("_row", "_hits").distinct().select("_row", F.posexplode("_hits").alias("at", "hit")))
+    hits = stash(cut.where("parts IS NOT NULL").select("row", F.posexplode("parts").alias("at", "hit")).where("at % 2 = 1"))
     table = stash(stand_ins(hits, key))
     named = hits.withColumn("norm", F.expr(norm)).join(table, "norm").withColumn("by", F.expr("if(hit = upper(hit) AND hit LIKE '%@%', upper(surrogate), surrogate)"))
-    lists = named.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("at", "by"))).alias("_by"))  # one text's own entities
-    made = "concat(array_join(zip_with(slice(_pieces, 1, size(_by)), _by, (p, b) -> concat(p, b.by)), ''), element_at(_pieces, -1))"
-    out = with_hits.join(lists, "_row").withColumn("text", F.expr(made)).withColumn("n_entities", F.size("_by").cast("long"))
-    names = [*docs.columns, "n_entities"]
-    return out.select(names).union(clean.select(names))
+    lists = named.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "by"))).alias("by"))  # one text's own entities
+    filled = "array_join(transform(parts, (p, i) -> if(i % 2 = 1, by[cast((i - 1) / 2 AS int)].by, p)), '')"
+    found = cut.where("parts IS NOT NULL").join(lists, "row")
+    out = found.select(*(F.expr(filled).alias(c) if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in names), F.size("by").cast("long").alias("n_entities"))
+    clean = cut.where("parts IS NULL").select(*(F.col(f"doc.`{c}`").alias(c) for c in names), F.lit(0).cast("long").alias("n_entities"))
+    return out.union(clean)
