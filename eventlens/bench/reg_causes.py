@@ -184,9 +184,10 @@ def hq(sql: str, ctes: str = CHAIN_CTES) -> str:
 
 def chains(s, d, within_ms=None):
     c = BenchCorpus(s, d)
-    details = S.stage_details(c.stages, c.tasks)
+    details = S.stage_details(c.stages, c.tasks, c.task_parts)
     near = H.nearby_executor_failures(details, c.executor_events, within_ms) if within_ms else None
-    return H.cause_chains(details, G.failure_counts(c.tasks, c.stages, c.executor_events), M.correlations(c.tasks), near)
+    correlations = M.metrics_of_parts(c.task_parts, "corr")
+    return H.cause_chains(details, G.failure_counts(c.tasks, c.stages, c.executor_events, c.task_parts), correlations, near)
 
 
 CHAIN = f"array_join(transform(chain, l -> concat(l.event, ' {{', {map_text('l.metrics')}, '}}')), ' -> ') AS chain"

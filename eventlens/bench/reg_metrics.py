@@ -4,6 +4,7 @@ from eventlens.bench import views as v
 from eventlens.bench.registry import register
 from eventlens.bench.sqltext import big, query, r6
 from eventlens.operators import metrics as M
+from eventlens.operators import parts as P
 from eventlens.plans.stash import stash
 
 
@@ -82,6 +83,20 @@ register("dynamic_thresholds", lambda s, d: M.dynamic_thresholds(v.tasks(s, d)),
 _LONG = " UNION ALL ".join(f"SELECT app_id, '{n}' AS metric, CAST({n} AS DOUBLE) AS value FROM m" for n in M.LONG_METRICS)
 LONG_CTE = f"ml AS ({_LONG})"
 register("metrics_long", lambda s, d: M.metrics_long(M.app_metrics(v.BenchCorpus(s, d))), query(f"SELECT app_id, metric, {r6('value')} AS value FROM ml", LONG_CTE))
+
+
+def _in_two_logs(s, d):
+    """Metrics of parts stored for some tasks, to which the others are added; most stages and executors have tasks in both."""
+    t = v.tasks(s, d)
+    old, new = (stash(P.task_parts(t.filter(f"task_id % 3 {x} 0"))) for x in ("=", "<>"))
+    whole = M.metrics_of_parts(P.added(old, new), *M.TASK_GROUPS)
+    names = [n for n in M.LONG_METRICS if n in whole.columns]
+    return whole.selectExpr("app_id", f"stack({len(names)}, {', '.join(f'{chr(39)}{n}{chr(39)}, CAST({n} AS DOUBLE)' for n in names)}) AS (metric, value)")
+
+
+_PART_METRICS = [n for n in M.LONG_METRICS if n in {k for g in P.AGGREGATES.values() for k in g} | {k for g in M._derived("ns").values() for k in g}]
+register("metrics_added", _in_two_logs, query(
+    f"SELECT app_id, metric, {r6('value')} AS value FROM ml WHERE metric IN (" + ", ".join(f"'{n}'" for n in _PART_METRICS) + ")", LONG_CTE))
 _SUMS = ", ".join(f"CAST(sum({n}) AS BIGINT) AS {n}" for n in M.ROLLUP_SUMS)
 register("rollup_metrics", lambda s, d: M.rollup_metrics(v.tasks(s, d)), query(
     f"""SELECT CASE WHEN grouping(stage_id) = 1 AND grouping(executor_id) = 1 THEN 'app' WHEN grouping(executor_id) = 1 THEN 'stage'

@@ -39,7 +39,7 @@ def found(s, d):
 
 def summary(s, d):
     c = BenchCorpus(s, d)
-    return R.executive_summary(D.finding_arrays(M.app_metrics(c)), G.failure_counts(c.tasks, c.stages, c.executor_events))
+    return R.executive_summary(D.finding_arrays(M.app_metrics(c)), G.failure_counts(c.tasks, c.stages, c.executor_events, c.task_parts))
 
 
 register("health_score", lambda s, d: R.health_score(found(s, d)), jq("SELECT app_id, health_score FROM ex"))
@@ -51,7 +51,7 @@ register("primary_concerns", lambda s, d: R.primary_concerns(found(s, d)), jq(
 def _exec(s, d):
     c = BenchCorpus(s, d)
     base = D.finding_arrays(M.app_metrics(c, *D.needs(), "stages"))
-    out = R.executive_summary(base, G.failure_counts(c.tasks, c.stages, c.executor_events))
+    out = R.executive_summary(base, G.failure_counts(c.tasks, c.stages, c.executor_events, c.task_parts))
     return out.selectExpr("app_id", *[x for x in R.SUMMARY if x != "primary_concerns"], "array_join(primary_concerns, ', ') AS primary_concerns")
 
 

@@ -13,6 +13,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventlens.operators import metrics, parts
+from eventlens.plans.stash import stash
+
 STAGE_NAMES = ("join at Etl:10", "leftOuterJoin at Etl:21", "groupByKey at Etl:32", "aggregateByKey at Etl:43",
                "repartition at Etl:54", "sortByKey at Etl:65", "persist at Etl:76", "distinct exchange at Etl:87",
                "reduceByKey shuffle at Etl:98", "map at Etl:109")
@@ -256,3 +259,5 @@ class BenchCorpus:
     block_managers = cached_property(lambda self: block_managers(self.spark, self.sf_dir))
     applications = cached_property(lambda self: applications(self.spark, self.sf_dir))
     environment = cached_property(lambda self: environment(self.spark, self.sf_dir))
+    task_parts = cached_property(lambda self: stash(parts.task_parts(self.tasks)))
+    duration_counts = cached_property(lambda self: metrics.duration_counts(self.tasks))

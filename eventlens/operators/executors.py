@@ -15,13 +15,16 @@ def _agg(df: DataFrame, keys: list[str], aggs: dict[str, str]) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.expr(f"{e} AS {n}") for n, e in aggs.items()])
 
 
-def executor_stats(executor_events: DataFrame, tasks: DataFrame) -> DataFrame:
+def executor_stats(executor_events: DataFrame, tasks: DataFrame, task_parts: DataFrame | None = None) -> DataFrame:
     """One row per executor known from any of: added, removed, ran a task.
 
     The three kinds are unioned and aggregated once, which is the full outer join without
-    a join; tasks are reduced to one row per executor before the union.
+    a join; tasks are reduced to one row per executor before the union. With ``task_parts`` (see ``parts``) they are not read.
     """
-    ran = _agg(tasks.filter("executor_id IS NOT NULL"), ["app_id", "executor_id"], {"n": "count(1)", "busy": "sum(duration_ms)"})
+    if task_parts is None:
+        ran = _agg(tasks.filter("executor_id IS NOT NULL"), ["app_id", "executor_id"], {"n": "count(1)", "busy": "sum(duration_ms)"})
+    else:
+        ran = _agg(task_parts.filter("executor_id IS NOT NULL"), ["app_id", "executor_id"], {"n": "sum(n)", "busy": "sum(sum_duration_ms)"})
     rows = executor_events.selectExpr("app_id", "executor_id", "kind", "ts_ms", "host", "cores", "coalesce(reason, '') AS reason", "0L AS n", "0L AS busy").unionByName(
         ran.selectExpr("app_id", "executor_id", "'TASK' AS kind", "CAST(NULL AS BIGINT) AS ts_ms", "CAST(NULL AS STRING) AS host",
                        "CAST(NULL AS BIGINT) AS cores", "CAST(NULL AS STRING) AS reason", "n", "busy"))

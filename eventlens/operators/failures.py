@@ -118,11 +118,17 @@ def failure_hypotheses(tasks: DataFrame) -> DataFrame:
     return _agg(failed, ["app_id", "failure_type"], {"failures": "count(1)"}).selectExpr("*", f"{hypothesis('failure_type')} AS hypothesis")
 
 
-def failure_counts(tasks: DataFrame, stages: DataFrame, executor_events: DataFrame) -> DataFrame:
-    """The five failure counts and the attempts they came from, per application; every source is reduced before the union."""
-    t = _agg(tasks, ["app_id"], {
-        "total_task_failures": "count_if(end_reason IS NOT NULL AND end_reason <> 'Success')", "task_oom": f"count_if({matches_failure('end_reason_json', 'OOM')})",
-        "total_fetch_failures": "count_if(contains(end_reason, 'FetchFailed'))", "attempts": "count(1)"})
+def failure_counts(tasks: DataFrame, stages: DataFrame, executor_events: DataFrame, task_parts: DataFrame | None = None) -> DataFrame:
+    """The five failure counts and the attempts they came from, per application; every source is reduced before the union.
+
+    With ``task_parts`` (see ``parts``) the tasks are not read.
+    """
+    if task_parts is not None:
+        t = _agg(task_parts, ["app_id"], {"total_task_failures": "sum(task_failures)", "task_oom": "sum(task_oom)", "total_fetch_failures": "sum(fetch_failures)", "attempts": "sum(n)"})
+    else:
+        t = _agg(tasks, ["app_id"], {
+            "total_task_failures": "count_if(end_reason IS NOT NULL AND end_reason <> 'Success')", "task_oom": f"count_if({matches_failure('end_reason_json', 'OOM')})",
+            "total_fetch_failures": "count_if(contains(end_reason, 'FetchFailed'))", "attempts": "count(1)"})
     s = _agg(stages, ["app_id"], {"total_stage_failures": "count_if(is_completed AND length(failure_reason) > 0)", "attempts": "count(1)"})
     e = _agg(executor_events, ["app_id"], {
         "total_executor_failures": f"count_if(kind = 'REMOVED' AND {is_executor_failure('reason')})",

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from eventlens.functions.stats import grouped_quantiles, guarded_corr, merged_sketches, rank_error, rank_sketches, sketch_quantiles, value_counts
 from eventlens.functions.text import ladder, ratio
+from eventlens.operators import parts
 
 PERCENTILES = {"p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
@@ -86,13 +87,21 @@ def _agg(df: DataFrame, keys: list[str], aggs: dict[str, str]) -> DataFrame:
 
 def metric_group(tasks: DataFrame, *groups: str, keys: tuple[str, ...] = ("app_id",), cpu_unit: str = "ns") -> DataFrame:
     """One aggregation for the named metric groups; other task columns are not read."""
-    aggs: dict[str, str] = {}
-    more: dict[str, str] = {}
-    for g in groups:
-        aggs |= AGGREGATES[g]
-        more |= _derived(cpu_unit).get(g, {})
-    keep = [n for n in aggs if n != "cpu_time"]
-    return _agg(tasks, list(keys), aggs).selectExpr(*keys, *keep, *[f"{e} AS {n}" for n, e in more.items()])
+    aggs = {n: e for g in groups for n, e in AGGREGATES[g].items()}
+    return _with_derived(_agg(tasks, list(keys), aggs), groups, keys, cpu_unit)
+
+
+def _with_derived(sums: DataFrame, groups: tuple[str, ...], keys: tuple[str, ...], cpu_unit: str) -> DataFrame:
+    more = {n: e for g in groups for n, e in _derived(cpu_unit).get(g, {}).items()}
+    keep = list(dict.fromkeys(n for g in groups for n in AGGREGATES[g] if n != "cpu_time"))
+    return sums.selectExpr(*keys, *keep, *[f"{e} AS {n}" for n, e in more.items()])
+
+
+def metrics_of_parts(task_parts: DataFrame, *groups: str, keys: tuple[str, ...] = ("app_id",), cpu_unit: str = "ns") -> DataFrame:
+    """``metric_group`` from the parts of the tasks (see ``parts``), at any grain."""
+    aggs = {n: e for g in groups for n, e in parts.AGGREGATES[g].items()}
+    whole = parts.combined(task_parts, list(keys))
+    return _with_derived(whole.selectExpr(*keys, *[f"{e} AS {n}" for n, e in aggs.items()]), groups, keys, cpu_unit)
 
 
 def duration_counts(tasks: DataFrame, keys: tuple[str, ...] = ("app_id",)) -> DataFrame:
@@ -164,7 +173,11 @@ def executor_task_counts(tasks: DataFrame) -> DataFrame:
 
 def executor_imbalance(tasks: DataFrame) -> DataFrame:
     """Population deviation over mean of the task counts per executor, and their spread."""
-    out = _agg(executor_task_counts(tasks), ["app_id"], {
+    return _imbalance(executor_task_counts(tasks))
+
+
+def _imbalance(counts: DataFrame) -> DataFrame:
+    out = _agg(counts, ["app_id"], {
         "total_executors": "count(1)", "sd": "stddev_pop(tasks)", "min_tasks_per_executor": "min(tasks)",
         "max_tasks_per_executor": "max(tasks)", "mean_tasks_per_executor": "avg(tasks)"})
     return out.selectExpr(
@@ -229,26 +242,28 @@ def app_metrics(corpus, *include: str, cpu_unit: str = "ns") -> DataFrame:
     """Application metrics in one wide row per application.
 
     ``include`` names the wanted groups (default: all), so a detector that needs GC and spill
-    figures costs a single aggregation.  Every part is one row per application, so they are stacked and
+    figures costs a single aggregation.  Every piece is one row per application, so they are stacked and
     merged by one small aggregation instead of a chain of joins.  Applications without tasks keep zeros.
     """
     include = include or ALL_GROUPS
-    parts = []
+    rows = []
     groups = [g for g in TASK_GROUPS if g in include]
+    stored = bool(groups) and "executors" in include  # both follow from the stored parts, with one pass over the tasks
     if groups:
-        parts.append(metric_group(corpus.tasks, *groups, cpu_unit=cpu_unit))
+        rows.append(metrics_of_parts(corpus.task_parts, *groups, cpu_unit=cpu_unit) if stored else metric_group(corpus.tasks, *groups, cpu_unit=cpu_unit))
     if "quantiles" in include:
-        parts.append(_with_stragglers(duration_counts(corpus.tasks), PERCENTILES).selectExpr("*", "p50 AS median_task_duration"))
+        rows.append(_with_stragglers(corpus.duration_counts, PERCENTILES).selectExpr("*", "p50 AS median_task_duration"))
     if "executors" in include:
-        parts.append(executor_imbalance(corpus.tasks))
+        ran = _agg(corpus.task_parts.filter("executor_id IS NOT NULL"), ["app_id", "executor_id"], {"tasks": "sum(n)"}) if stored else executor_task_counts(corpus.tasks)
+        rows.append(_imbalance(ran))
     if "stages" in include:
-        parts.append(stage_failure_rate(corpus.stages))
+        rows.append(stage_failure_rate(corpus.stages))
     if "churn" in include:
-        parts.append(executor_churn(corpus.executor_events))
+        rows.append(executor_churn(corpus.executor_events))
     if "jobs" in include:
-        parts.append(_agg(corpus.jobs, ["app_id"], {"total_jobs": "count(completion_ms)"}))
-    parts.append(corpus.applications.selectExpr("app_id", "app_name", "duration_ms AS application_duration_ms"))
-    wide = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        rows.append(_agg(corpus.jobs, ["app_id"], {"total_jobs": "count(completion_ms)"}))
+    rows.append(corpus.applications.selectExpr("app_id", "app_name", "duration_ms AS application_duration_ms"))
+    wide = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
     filled = {}
     for f in wide.schema:
         default = {"string": "'LOW'", "boolean": "false"}.get(f.dataType.typeName(), "0")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from eventlens.functions.graph import lifts, longest_walks, reached
 from eventlens.functions.text import WIDE_TYPES, format_bytes, format_duration, links, num, percent, ratio, severity_rank, transformation
+from eventlens.operators import parts
 from eventlens.plans.stash import stash
 
 # Issue type -> report category
@@ -59,7 +60,17 @@ STAGE_SUMS = {
 
 def stage_metrics(tasks: DataFrame) -> DataFrame:
     """Task figures per stage over all attempts; skew is (max - min) / mean, GC is relative to task duration."""
-    return _agg(tasks, ["app_id", "stage_id"], STAGE_SUMS).selectExpr(
+    return _stage_ratios(_agg(tasks, ["app_id", "stage_id"], STAGE_SUMS))
+
+
+def stage_metrics_of_parts(task_parts: DataFrame) -> DataFrame:
+    """``stage_metrics`` from the parts of the tasks (see ``parts``)."""
+    keys = ["app_id", "stage_id"]
+    return _stage_ratios(parts.combined(task_parts, keys, moments=False).selectExpr(*keys, *[f"{e} AS {n}" for n, e in parts.STAGE_SUMS.items()]))
+
+
+def _stage_ratios(sums: DataFrame) -> DataFrame:
+    return sums.selectExpr(
         "app_id", "stage_id", "total_tasks", "total_duration_ms", "mean_task_duration_ms", "max_task_duration_ms", "min_task_duration_ms",
         ratio("max_task_duration_ms - min_task_duration_ms", "mean_task_duration_ms") + " AS task_skew", "total_gc_time_ms",
         ratio("total_gc_time_ms", "total_duration_ms") + " AS gc_ratio", "total_memory_spilled", "total_shuffle_read",
@@ -92,13 +103,13 @@ _ZERO = ("total_tasks", "total_duration_ms", "mean_task_duration_ms", "max_task_
          "total_gc_time_ms", "gc_ratio", "total_memory_spilled", "total_shuffle_read", "shuffle_ratio")
 
 
-def stage_details(stages: DataFrame, tasks: DataFrame) -> DataFrame:
+def stage_details(stages: DataFrame, tasks: DataFrame, task_parts: DataFrame | None = None) -> DataFrame:
     """Stages left-joined with their task figures, transformation and ordered issues.
 
-    A stage without tasks has zero figures and no issues.
+    A stage without tasks has zero figures and no issues. With ``task_parts`` (see ``parts``) the tasks are not read.
     """
     wide = ", ".join(f"'{t}'" for t in WIDE_TYPES)
-    joined = stage_table(stages).join(stage_metrics(tasks), ["app_id", "stage_id"], "left")
+    joined = stage_table(stages).join(stage_metrics(tasks) if task_parts is None else stage_metrics_of_parts(task_parts), ["app_id", "stage_id"], "left")
     keep = [c for c in joined.columns if c not in _ZERO]
     return joined.selectExpr(*keep, *[f"coalesce({c}, 0) AS {c}" for c in _ZERO], f"{transformation('stage_name')} AS t").selectExpr(
         *keep, *_ZERO, "t.type AS transformation_type", "t.operation", f"t.type IN ({wide}) AS is_wide_transformation",

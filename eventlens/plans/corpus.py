@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventlens.operators import causes, detectors, executors, failures, metrics, stages
+from eventlens.operators import causes, detectors, executors, failures, metrics, parts, stages
 from eventlens.plans import report
 from eventlens.plans.stash import new_path, stash
 from eventlens.schema import CORRUPT
@@ -55,24 +55,28 @@ class Corpus:
     applications = cached_property(lambda self: tables.applications(self.events))
     environment = cached_property(lambda self: tables.environment(self.events))
     raw_events = cached_property(lambda self: tables.raw_events(self.events))
+    #: What most results need of the tasks, written once each: mergeable parts, and how often each duration comes.
+    task_parts = cached_property(lambda self: stash(parts.task_parts(self.tasks)))
+    duration_counts = cached_property(lambda self: metrics.duration_counts(self.tasks))
 
 
 class Diagnosis:
     """The result tables over a corpus.
 
     ``metrics``, ``failure_counts``, ``stage_details``, the summary and the causes feed most results; they have a few rows per application or
-    stage and are written once to the shared folder, so no result scans the tasks again for them.
+    stage and are written once to the shared folder. They follow from the corpus's task parts and duration counts, so all of
+    them together take two passes over the tasks.
     """
 
     def __init__(self, corpus):
         self.corpus = corpus
 
     metrics = cached_property(lambda self: stash(metrics.app_metrics(self.corpus)))
-    failure_counts = cached_property(lambda self: stash(failures.failure_counts(self.corpus.tasks, self.corpus.stages, self.corpus.executor_events)))
-    stage_details = cached_property(lambda self: stash(stages.stage_details(self.corpus.stages, self.corpus.tasks)))
+    failure_counts = cached_property(lambda self: stash(failures.failure_counts(self.corpus.tasks, self.corpus.stages, self.corpus.executor_events, self.corpus.task_parts)))
+    stage_details = cached_property(lambda self: stash(stages.stage_details(self.corpus.stages, self.corpus.tasks, self.corpus.task_parts)))
     _causes = cached_property(lambda self: stash(causes.all_root_causes(self.metrics)))
     _summary = cached_property(lambda self: stash(report.executive_summary(detectors.finding_arrays(self.metrics), self.failure_counts)))
-    executor_stats = cached_property(lambda self: stash(executors.executor_stats(self.corpus.executor_events, self.corpus.tasks)))
+    executor_stats = cached_property(lambda self: stash(executors.executor_stats(self.corpus.executor_events, self.corpus.tasks, self.corpus.task_parts)))
 
     def findings(self) -> DataFrame:
         return detectors.ranked(detectors.bottlenecks(self.metrics))
