@@ -23,25 +23,24 @@ MOMENTS = ("duration_ms", "gc_ms", "mem_spill_bytes", "fetch_wait_ms")
 PRODUCTS = (("gc_ms", "duration_ms"), ("mem_spill_bytes", "gc_ms"), ("fetch_wait_ms", "duration_ms"))
 _VALID = "CASE WHEN duration_ms > 0 THEN duration_ms END"
 
+SUCCESS = '{"Reason":"Success"}'
+
 #: Simple columns: name -> (expression over tasks, how two of them become one).
 SIMPLE = {
     "n": ("count(1)", "sum"), "valid_n": (f"count({_VALID})", "sum"), "valid_sum": (f"coalesce(sum({_VALID}), 0)", "sum"),
     "valid_min": (f"min({_VALID})", "min"), "valid_max": (f"max({_VALID})", "max"), "max_heap": ("max(heap_bytes)", "max"), "max_offheap": ("max(offheap_bytes)", "max"),
     "cpu_time": ("coalesce(sum(CAST(cpu_ns AS DOUBLE)), 0D)", "sum"),
     **{f"sum_{c}": (f"coalesce(sum({c}), 0)", "sum") for c in SUMMED}, **{f"pos_{c}": (f"count_if({c} > 0)", "sum") for c in POSITIVE},
-    # tasks without a value take no part in its moments
-    **{f"n_{c}": (f"count({c})", "sum") for c in MOMENTS},
-    **{f"n_{x}_{y}": (f"count_if({x} IS NOT NULL AND {y} IS NOT NULL)", "sum") for x, y in PRODUCTS},
-    **{f"first_{x}_{y}": (f"coalesce(sum({x}) FILTER (WHERE {y} IS NOT NULL), 0)", "sum") for x, y in PRODUCTS},
-    **{f"second_{x}_{y}": (f"coalesce(sum({y}) FILTER (WHERE {x} IS NOT NULL), 0)", "sum") for x, y in PRODUCTS},
-    "task_failures": ("count_if(end_reason IS NOT NULL AND end_reason <> 'Success')", "sum"), "task_oom": (f"count_if({matches_failure('end_reason_json', 'OOM')})", "sum"),
+    "task_failures": ("count_if(end_reason IS NOT NULL AND end_reason <> 'Success')", "sum"),
+    # the usual text is told from the others before any pattern is tried
+    "task_oom": (f"count_if(end_reason_json <> '{SUCCESS}' AND {matches_failure('end_reason_json', 'OOM')})", "sum"),
     "fetch_failures": ("count_if(contains(end_reason, 'FetchFailed'))", "sum"),
 }
-#: Moments: name -> (expression over tasks, number, sum of x, sum of y).
+#: Moments: name -> (expression over tasks, number, sum of x, sum of y). Figures of the canonical tasks are never null.
 CENTRED = {
     "m2_valid": (f"coalesce(var_pop({_VALID}) * count({_VALID}), 0D)", "valid_n", "valid_sum", "valid_sum"),
-    **{f"m2_{c}": (f"coalesce(var_pop({c}) * count({c}), 0D)", f"n_{c}", f"sum_{c}", f"sum_{c}") for c in MOMENTS},
-    **{f"co_{x}_{y}": (f"coalesce(covar_pop({x}, {y}) * count_if({x} IS NOT NULL AND {y} IS NOT NULL), 0D)", f"n_{x}_{y}", f"first_{x}_{y}", f"second_{x}_{y}") for x, y in PRODUCTS},
+    **{f"m2_{c}": (f"var_pop(coalesce({c}, 0)) * count(1)", "n", f"sum_{c}", f"sum_{c}") for c in MOMENTS},
+    **{f"co_{x}_{y}": (f"covar_pop(coalesce({x}, 0), coalesce({y}, 0)) * count(1)", "n", f"sum_{x}", f"sum_{y}") for x, y in PRODUCTS},
 }
 
 
@@ -56,22 +55,19 @@ def combined(parts: DataFrame, keys: list[str], moments: bool = True) -> DataFra
     Second moments gain what the parts' means differ from the common mean, which is joined to the parts: no cancellation, so
     figures as far from zero as byte counts keep their digits. ``moments=False`` leaves them out and needs no join.
     """
-    simple = parts.groupBy(*keys).agg(*[F.expr(f"{how}({n}) AS {n}") for n, (_, how) in SIMPLE.items()])
+    simple = [F.expr(f"{how}({n}) AS {n}") for n, (_, how) in SIMPLE.items()]
     if not moments:
-        return simple
+        return parts.groupBy(*keys).agg(*simple)
     sums = sorted({s for _, n, a, b in CENTRED.values() for s in (n, a, b)})
-    common = simple.select(*[F.col(k).alias(f"k_{k}") for k in keys], *[F.col(s).alias(f"all_{s}") for s in sums])
-    same = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys]
+    common = parts.groupBy(*[F.col(k).alias(f"k_{k}") for k in keys]).agg(*[F.sum(s).alias(f"all_{s}") for s in sums])
 
     def gap(total: str, number: str) -> str:
         """Difference of two means; whole numbers up to the division, so that figures far from zero keep their digits."""
         a, n, common_a, common_n = (f"CAST({x} AS DECIMAL(19, 0))" for x in (total, number, f"all_{total}", f"all_{number}"))
         return f"(CAST({a} * {common_n} - {common_a} * {n} AS DOUBLE) / {number} / all_{number})"
 
-    moved = parts.join(common, same).groupBy(*[F.col(k) for k in keys]).agg(
-        *[F.expr(f"sum({m} + CASE WHEN {n} > 0 THEN {n} * {gap(a, n)} * {gap(b, n)} ELSE 0D END) AS {m}") for m, (_, n, a, b) in CENTRED.items()])
-    again = moved.withColumnsRenamed({k: f"k_{k}" for k in keys})
-    return simple.join(again, same).drop(*[f"k_{k}" for k in keys])
+    centred = [F.expr(f"sum({m} + CASE WHEN {n} > 0 THEN {n} * {gap(a, n)} * {gap(b, n)} ELSE 0D END) AS {m}") for m, (_, n, a, b) in CENTRED.items()]
+    return parts.join(common, [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys]).groupBy(*keys).agg(*simple, *centred)
 
 
 def added(parts: DataFrame, more: DataFrame) -> DataFrame:
@@ -80,8 +76,7 @@ def added(parts: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def _corr(x: str, y: str) -> str:
-    deviation = "sqrt(try_divide(m2_{0}, n_{0} - 1))"
-    return f"coalesce(try_divide(try_divide(co_{x}_{y}, n_{x}_{y} - 1), {deviation.format(x)} * {deviation.format(y)}), 0D)"
+    return f"coalesce(try_divide(co_{x}_{y}, sqrt(m2_{x}) * sqrt(m2_{y})), 0D)"
 
 
 #: The aggregates of ``metrics.AGGREGATES`` over parts that were put together.

@@ -27,9 +27,9 @@ def tasks(spark):
 
 
 def odd(t):
-    """Tasks with a constant column, missing values and figures far from zero."""
+    """Tasks with a constant column, missing executors and figures far from zero."""
     return t.withColumns({"executor_id": F.expr("IF(task_id % 11 = 0, NULL, executor_id)"), "fetch_wait_ms": F.expr("IF(app_id = 'app-1', 7L, fetch_wait_ms)"),
-                          "gc_ms": F.expr("IF(task_id % 13 = 0, NULL, gc_ms)"), "mem_spill_bytes": F.expr("IF(app_id = 'app-2', 1000000000 + task_id % 7, mem_spill_bytes)"),
+                          "mem_spill_bytes": F.expr("IF(app_id = 'app-2', 1000000000 + task_id % 7, mem_spill_bytes)"),
                           "duration_ms": F.expr("IF(app_id = 'app-3', 0L, duration_ms)")})
 
 
