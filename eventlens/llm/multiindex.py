@@ -79,13 +79,15 @@ def linked(vectors: DataFrame, least: float = 0.98) -> DataFrame:
 
     Vectors that are null, zero or hold null or non-finite components, or have no label, link with nothing; so do rows
     without an id. Vectors of different lengths are never linked. Equal vectors are one class whose members all link
-    with each other; a row repeated with the same id counts once and is returned as often as it comes. An empty table
-    gives an empty one; extra columns are not read.
+    with each other; a row repeated with the same id counts once and is returned as often as it comes. An id may come with
+    several vectors: each row gets the links and the component of its own. An empty table gives an empty one; extra columns
+    are not read.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast("array<double>").alias("v"))
     good = F.expr("vec_id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)")
     valid = rows.where(F.coalesce(good, F.lit(False))).withColumn("g", F.concat_ws(":", F.col("label").cast("string"), F.size("v").cast("string")))
-    classes = stash(valid.groupBy("g", "v", "vec_id").agg(F.lit(1).alias("one")).groupBy("g", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    classes = stash(valid.groupBy("g", "v", "vec_id").agg(F.lit(1).alias("one")).groupBy("g", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+                    .select("g", "v", F.monotonically_increasing_id().alias("rep"), "least", "copies"))  # a class is named by a number given once, where it is stored
     total, groups = classes.agg(F.count("*"), F.approx_count_distinct("g")).first()
     k = int(min(256, max(1, (total / max(groups, 1) / CELL) ** 0.5)))
     draw = classes if total <= SAMPLE else classes.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < int(1_000_000 * SAMPLE / total))
@@ -123,7 +125,7 @@ def linked(vectors: DataFrame, least: float = 0.98) -> DataFrame:
                 part = b.take(pa.array(at[s:s + 20_000], pa.int64()))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cells[s:s + 20_000], pa.int64()), pa.array(homes[s:s + 20_000], pa.bool_())], [*part.schema.names, "cell", "home"])
 
-    placed = classes.mapInArrow(place, "g string, v array<double>, rep long, copies long, cell long, home boolean")
+    placed = classes.select("g", "v", "rep", "copies").mapInArrow(place, "g string, v array<double>, rep long, copies long, cell long, home boolean")
     sizes = placed.groupBy("g", "cell").agg(F.count_if("home").alias("n_home"), F.count_if(~F.col("home")).alias("n_visit"))
     parts = stash(sizes.where("n_home > 0 AND n_home + n_visit > 1").select("g", "cell", F.ceil(F.col("n_home") / BLOCK).cast("int").alias("nh"), F.ceil(F.col("n_visit") / BLOCK).cast("int").alias("nv")))
     own = F.expr("pmod(xxhash64(rep), if(home, nh, nv))").cast("int")
@@ -163,7 +165,8 @@ def linked(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     found = stash(dealt.groupBy("g", "cell", "visit", "i", "j").applyInArrow(compare, "a long, b long, n long"))
     degrees = found.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
     comp = components(found.select("a", "b")).withColumnRenamed("node", "rep")
-    solved = classes.join(degrees, "rep", "left").join(comp, "rep", "left").select("g", "v", F.expr("copies - 1 + coalesce(n, 0)").alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    rooted = classes.join(degrees, "rep", "left").join(comp, "rep", "left").select("g", "v", "least", F.expr("copies - 1 + coalesce(n, 0)").alias("n_links"), F.coalesce("component", "rep").alias("root"))
+    solved = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("g", "v", "n_links", "component")
     inside = valid.join(solved, ["g", "v"]).select("vec_id", "n_links", F.col("component").alias("component_id"))
     outside = rows.where(~F.coalesce(good, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return inside.union(outside).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -101,7 +101,7 @@ def signatures(docs: DataFrame, words_in: int = 5) -> DataFrame:
             for x in b.column(1):
                 h = shingles(x.as_py(), words_in)
                 ns.append(len(h))
-                keys.append(blake2b(h.tobytes(), digest_size=16).hexdigest())
+                keys.append(_set_key(h))
                 if len(h):
                     low = samples(h)
                     rows = low.reshape(BANDS, -1)
@@ -126,19 +126,24 @@ def _may_link(percent: int) -> str:
     return f"100 * least(n, n2) >= {percent} * greatest(n, n2) AND {bits} <= {most_different(percent / 100)}"
 
 
-def _sets(ids: DataFrame, docs: DataFrame, words_in: int) -> DataFrame:
-    """(doc_id, hashes binary) of the wanted documents, made again from their texts.
+def _set_key(hashes: np.ndarray) -> str:
+    return blake2b(hashes.tobytes(), digest_size=16).hexdigest()
 
-    The list of ids grows with the corpus, so it is never broadcast: texts and ids meet in one shuffle. Of repeated
-    rows with one id, one is taken.
+
+def _sets(wanted: DataFrame, docs: DataFrame, words_in: int) -> DataFrame:
+    """(rep, hashes binary) of the wanted classes (rep, doc_id, set_key), made again from the text of one of their documents.
+
+    The list grows with the corpus, so it is never broadcast: texts and ids meet in one shuffle. Where an id has several
+    texts, the key of the set says which is meant; of equal rows one is taken.
     """
 
     def made(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x.as_py(), words_in).tobytes() for x in b.column(1)], pa.binary())], ["doc_id", "hashes"])
+            found = [(rep, h.tobytes()) for rep, key, x in zip(b.column("rep").to_pylist(), b.column("set_key").to_pylist(), b.column("text")) if _set_key(h := shingles(x.as_py(), words_in)) == key]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["rep", "hashes"])
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text()).join(ids.hint("merge"), "doc_id", "left_semi")
-    return wanted.mapInArrow(made, "doc_id long, hashes binary").groupBy("doc_id").agg(F.min("hashes").alias("hashes"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text()).join(wanted.hint("merge"), "doc_id").select("rep", "set_key", "text")
+    return texts.mapInArrow(made, "rep long, hashes binary").groupBy("rep").agg(F.min("hashes").alias("hashes"))
 
 
 def _reach(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -148,7 +153,7 @@ def _reach(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of candidate pairs (a, b) those whose full sets reach the similarity."""
-    both = pairs.join(sets.selectExpr("doc_id AS a", "hashes AS ha"), "a").join(sets.selectExpr("doc_id AS b", "hashes AS hb"), "b")
+    both = pairs.join(sets.selectExpr("rep AS a", "hashes AS ha"), "a").join(sets.selectExpr("rep AS b", "hashes AS hb"), "b")
 
     def check(batches):
         for b in batches:
@@ -171,7 +176,7 @@ def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = members.groupBy("rep").agg(F.min(F.struct("n", "sketch", "comp")).alias("m")).selectExpr("rep", "m.n AS n", "m.sketch AS sketch", "m.comp AS comp").join(crowds, "rep")
     one = stash(one)
     size = one.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    placed = (one.join(size, "crowd").join(sets.withColumnRenamed("doc_id", "rep"), "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    placed = (one.join(size, "crowd").join(sets, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
               .select("crowd", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "comp", "rep", "n", "sketch", "hashes"))
     most = most_different(percent / 100)
@@ -211,19 +216,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words_in: int = 5) -> Da
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``: linked if 100 * intersection >= percent * union.
 
     Empty and null texts have no shingles and link with nothing. Repeated rows are copies like any other. Rows whose
-    doc_id is null keep a null component and are kept. Extra columns are not read. An empty table gives an empty one.
+    doc_id is null keep a null component and are kept. An id may come with several texts: equal sets are one class, whatever
+    their ids, and classes are what is linked, so each row gets the component of its own text. Extra columns are not read. An
+    empty table gives an empty one.
     """
     signed = stash(signatures(docs, words_in))
     signed_sets = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stash(signed_sets.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "bands", "sketch", "n_shingles")).alias("r"))
-                    .selectExpr("set_key", "rep", "r.bands AS bands", "r.sketch AS sketch", "r.n_shingles AS n"))
+    # a class is named by a number given once, where it is stored
+    classes = stash(signed_sets.groupBy("set_key").agg(F.min(F.struct("doc_id", "bands", "sketch", "n_shingles")).alias("r"))
+                    .selectExpr("set_key", "monotonically_increasing_id() AS rep", "r.doc_id AS doc_id", "r.bands AS bands", "r.sketch AS sketch", "r.n_shingles AS n"))
     banded = classes.select("rep", "n", "sketch", F.posexplode("bands").alias("band", "value"))
     centre = F.min(F.struct("rep", "n", "sketch"))
     buckets = banded.groupBy("band", "value").agg(centre.alias("c"), F.count("*").alias("size")).where("size > 1")
     met = stash(banded.join(buckets.selectExpr("band", "value", "c.rep AS centre", "c.n AS n2", "c.sketch AS sketch2", "size"), ["band", "value"]))
     pairs = stash(met.where("rep <> centre").where(_may_link(percent)).selectExpr("rep AS a", "centre AS b").distinct())
-    ids = pairs.selectExpr("a AS doc_id").union(pairs.selectExpr("b AS doc_id")).union(met.where("rep <> centre AND size > 2").selectExpr("rep AS doc_id")).distinct()
-    sets = stash(_sets(ids, docs, words_in))
+    needed = pairs.selectExpr("a AS rep").union(pairs.selectExpr("b AS rep")).union(met.where("rep <> centre AND size > 2").select("rep")).distinct()
+    sets = stash(_sets(classes.select("rep", "doc_id", "set_key").join(needed, "rep"), docs, words_in))
     edges = stash(_confirm(pairs, sets, percent))
     comp = stash(components(edges))
     # What is left: classes other than the centre, in buckets where those lie in more than one component.
@@ -233,7 +241,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words_in: int = 5) -> Da
     members = stash(rest.join(mixed, ["band", "value"], "left_semi"))
     if members.limit(1).count():
         comp = stash(components(edges.union(stash(_rest(members, sets, percent)))))
-    found = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("_comp"))
+    rooted = classes.select("set_key", "rep", "doc_id").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", "doc_id", F.coalesce("component", "rep").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("_comp"))
+    found = rooted.join(least, "root").select("set_key", "_comp")
     out = signed.drop("bands", "sketch").join(found, "set_key", "left")
     id_ = F.when(F.col("n_shingles") > 0, F.col("_comp")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), id_).alias("component_id"),
