@@ -7,6 +7,7 @@ columns of documents. ``run`` writes each result as Parquet into the shared fold
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from eventlens.llm.langid import known_language
 from eventlens.llm.oddsketch import near_duplicates
@@ -28,10 +29,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near-duplicates (five words, similarity 0.8)."""
-    kept = near_duplicates(docs, 80).where("kept").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """Keep one document of each group of near-duplicates (five words, similarity 0.8): that with the smallest id.
+
+    Rows are numbered where they are stored, so documents that share an id, or have none, are told apart; a document without
+    words stays.
+    """
+    rows = stash(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("row")))
+    groups = near_duplicates(rows.select(F.col("row").alias("doc_id"), "doc.text"), 80).selectExpr("doc_id AS row", "component_id")
+    order = F.struct(F.col("doc.doc_id").isNull(), "doc.doc_id", "row")
+    kept = rows.select("row", order.alias("o")).join(groups, "row").groupBy("component_id").agg(F.min("o").alias("o")).select("o.row")
+    return rows.join(kept, "row", "left_semi").select("doc.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
