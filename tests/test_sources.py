@@ -3,7 +3,7 @@ import gzip
 import json
 
 import pytest
-from conftest import small_log, write_array, write_lines
+from conftest import TASKS, small_log, write_array, write_lines
 
 from eventlens.plans.corpus import Corpus
 from eventlens.sources import normalize, readers, tables
@@ -42,7 +42,7 @@ def test_a_field_of_the_wrong_type_keeps_the_event_untyped(spark, tmp_path):
     bad = dict(small_log()[0], Timestamp="yesterday")
     write_lines(tmp_path / "x", [bad])
     rows = normalize.typed(readers.scan_ndjson(spark, str(tmp_path))).collect()
-    assert len(rows) == 1 and not rows[0].is_valid and rows[0]["App Name"] == "small"
+    assert len(rows) == 1 and not rows[0].is_valid and rows[0]["App Name"] == "nightly"
 
 
 def test_strict_mode_raises(spark, tmp_path):
@@ -62,7 +62,7 @@ def test_a_loaded_corpus_keeps_every_record(spark, tmp_path):
     for peek in (True, False):
         corpus = Corpus.load(spark, str(tmp_path / "log"), peek=peek)
         assert sorted(r.app_id for r in corpus.applications.collect()) == ["app-a", "app-b"]
-        assert corpus.events.count() == 2 * len(small_log()) + 1 and corpus.tasks.where("app_id = 'app-b'").count() == 10
+        assert corpus.events.count() == 2 * len(small_log()) + 1 and corpus.tasks.where("app_id = 'app-b'").count() == len(TASKS)
         assert sorted((r.app_id, r.reason) for r in corpus.rejected.collect()) == [("app-a", "malformed"), ("app-a", "no event name"), ("cut", "malformed")]
         s = {r.app_id: r for r in corpus.parse_statistics.collect()}["app-a"]
         assert (s.kept_untyped, s.missing_event, s.malformed) == (1, 1, 1)
@@ -85,7 +85,7 @@ def test_rolling_log_is_one_application(spark, tmp_path):
         write_lines(tmp_path / folder / f"events_2_{name}", events[8:])
     corpus = Corpus.load(spark, str(tmp_path))
     assert sorted(r.app_id for r in corpus.applications.collect()) == ["app-r", "lost"]
-    assert corpus.tasks.where("app_id = 'app-r'").count() == 10
+    assert corpus.tasks.where("app_id = 'app-r'").count() == len(TASKS)
 
 
 def test_gzip(spark, tmp_path):
