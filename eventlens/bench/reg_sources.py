@@ -9,6 +9,7 @@ from eventlens.bench.sqltext import big, query, r6
 from eventlens.bench.views import TASK_3, BenchCorpus
 from eventlens.operators import metrics as M
 from eventlens.plans import report as R
+from eventlens.plans.corpus import Corpus
 from eventlens.plans.stash import new_path, stash
 from eventlens.sources import normalize as N
 from eventlens.sources import readers, sinks, tables
@@ -99,6 +100,32 @@ def _sink_text(s, d):
 register("sink_report_text", _sink_text)
 
 
+# --- the whole load ---
+def _loaded(s, d):
+    """Tasks of logs of both forms, through the main entry of the library."""
+    t = Corpus.load(s, logs.write_mixed(s, d)).tasks
+    return t.groupBy("app_id").agg(F.expr("count(1) AS tasks"), *[F.expr(f"sum({c}) AS {c}") for c in _SUMS])
+
+
+def _rejects(s, d):
+    return Corpus.load(s, logs.write_ndjson(s, d)).rejected.groupBy("app_id", "reason").agg(F.expr("count(1) AS records"))
+
+
+def _load_counts(s, d):
+    """The totals observed while the records were written, beside those of the stored table."""
+    corpus = Corpus.load(s, logs.write_ndjson(s, d))
+    names = list(N.record_counts())
+    taken = s.createDataFrame([tuple(corpus.load_counts[n] for n in names)], ", ".join(f"{n} LONG" for n in names)).selectExpr("'load' AS source", "*")
+    return taken.unionByName(corpus.parse_statistics.groupBy().agg(*[F.sum(n).alias(n) for n in names]).selectExpr("'table' AS source", "*"))
+
+
+register("corpus_load", _loaded, nq("SELECT app_id, count(*) AS tasks, " + ", ".join(f"{big(f'sum({c})')} AS {c}" for c in _SUMS) + " FROM tasks GROUP BY 1"))
+register("corpus_rejects", _rejects, nq(
+    "SELECT app_id, CASE kind WHEN 'missing' THEN 'no event name' ELSE kind END AS reason, count(*) AS records FROM no WHERE kind IN ('missing', 'malformed') GROUP BY 1, 2"))
+register("corpus_load_counts", _load_counts, nq(
+    """SELECT source, p + u + ms + mf AS total_records, p AS parsed_events, u AS kept_untyped, ms AS missing_event, mf AS malformed FROM (SELECT unnest(['load', 'table']) AS source),
+    (SELECT count(*) FILTER (ok) AS p, count(*) FILTER (NOT ok) AS u FROM ev), (SELECT count(*) FILTER (kind = 'missing') AS ms, count(*) FILTER (kind = 'malformed') AS mf FROM no)"""))
+
 # --- parsing --------------------------------------------------------------------------------------
 def stored(lines):
     """Event text as a stored table, so that parsing starts from text as it does for log files."""

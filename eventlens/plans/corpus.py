@@ -4,21 +4,22 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from eventlens.operators import causes, detectors, executors, failures, metrics, parts, stages
 from eventlens.plans import report
 from eventlens.plans.stash import new_path, stash
 from eventlens.schema import CORRUPT
 from eventlens.sources import readers, sinks, tables
-from eventlens.sources.normalize import checked, parse_stats
+from eventlens.sources.normalize import checked, parse_stats, record_counts
 
 
 class Corpus:
     """Canonical tables of all applications; each is built on first use."""
 
-    def __init__(self, records: DataFrame):
-        self.records = records
+    def __init__(self, records: DataFrame, load_counts: dict[str, int] | None = None):
+        self.records, self.load_counts = records, load_counts
         self.events = records.filter("Event IS NOT NULL")
 
     @classmethod
@@ -27,14 +28,16 @@ class Corpus:
 
         All tables then read only the files and columns they need. Every record is stored with its text (``raw``), so
         fields outside the schema stay readable; records that are not events are found in ``rejected``. ``strict``
-        stops at the first record that is not valid. ``peek=False`` is for stores that only Spark can open.
+        stops at the first record that is not valid. ``peek=False`` is for stores that only Spark can open. ``load_counts``
+        has the totals of ``parse_stats`` over all records, taken while they were written.
         """
         store = store or new_path(spark, "events")
         records = checked(readers.parse_lines(readers.scan_records(spark, path, peek)), strict)
-        sinks.write_events_parquet(records, store)
+        counted = Observation()
+        sinks.write_events_parquet(records.observe(counted, *[F.expr(e).alias(n) for n, e in record_counts().items()]), store)
         stored = records.withColumnRenamed("Event", "event_type").schema
         parsed = spark.read.schema(stored).parquet(store).withColumnRenamed("event_type", "Event")
-        return cls(tables.attach_app_ids(parsed, stash(tables.log_ids(parsed))))
+        return cls(tables.attach_app_ids(parsed, stash(tables.log_ids(parsed))), dict(counted.get))
 
     @cached_property
     def rejected(self) -> DataFrame:

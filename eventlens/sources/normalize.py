@@ -71,14 +71,16 @@ def event_counts(events: DataFrame, keys: tuple[str, ...] = ("app_id",)) -> Data
     return events.filter("Event IS NOT NULL").groupBy(*keys, "Event").count()
 
 
+def record_counts() -> dict[str, str]:
+    """The counts of ``parse_stats``: name -> expression over records with normalised time."""
+    valid = validity()
+    return {"total_records": "count(1)", "parsed_events": f"count_if(Event IS NOT NULL AND ({valid}))", "kept_untyped": f"count_if(Event IS NOT NULL AND NOT ({valid}))",
+            "missing_event": f"count_if(Event IS NULL AND {CORRUPT} IS NULL)", "malformed": f"count_if(Event IS NULL AND {CORRUPT} IS NOT NULL)"}
+
+
 def parse_stats(events: DataFrame, keys: tuple[str, ...] = ("app_id",)) -> DataFrame:
     """Totals: records, valid events, events kept untyped, records without discriminator, malformed records, success rate."""
-    valid = validity()
-    out = normalize_time(events).groupBy(*keys).agg(
-        F.expr("count(1) AS total_records"), F.expr(f"count_if(Event IS NOT NULL AND ({valid})) AS parsed_events"),
-        F.expr(f"count_if(Event IS NOT NULL AND NOT ({valid})) AS kept_untyped"),
-        F.expr(f"count_if(Event IS NULL AND {CORRUPT} IS NULL) AS missing_event"),
-        F.expr(f"count_if(Event IS NULL AND {CORRUPT} IS NOT NULL) AS malformed"))
+    out = normalize_time(events).groupBy(*keys).agg(*[F.expr(e).alias(n) for n, e in record_counts().items()])
     return out.selectExpr("*", "kept_untyped + missing_event + malformed AS failed_events", ratio("parsed_events", "total_records") + " AS success_rate")
 
 

@@ -66,6 +66,7 @@ def test_a_loaded_corpus_keeps_every_record(spark, tmp_path):
         assert sorted((r.app_id, r.reason) for r in corpus.rejected.collect()) == [("app-a", "malformed"), ("app-a", "no event name"), ("cut", "malformed")]
         s = {r.app_id: r for r in corpus.parse_statistics.collect()}["app-a"]
         assert (s.kept_untyped, s.missing_event, s.malformed) == (1, 1, 1)
+        assert corpus.load_counts == {"total_records": 2 * len(small_log()) + 4, "parsed_events": 2 * len(small_log()), "kept_untyped": 1, "missing_event": 1, "malformed": 2}
         own = corpus.events.where("NOT is_valid").selectExpr(f"{normalize.open_field('$.Own.x', 'int')} AS x").collect()
         assert [r.x for r in own] == [5]
 
