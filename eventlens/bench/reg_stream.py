@@ -1,5 +1,7 @@
 """Registry of streaming queries and scalar functions."""
 
+from pyspark.sql import functions as F
+
 from eventlens.bench import logs
 from eventlens.bench import views as v
 from eventlens.bench.reg_sources import nq
@@ -11,14 +13,17 @@ from eventlens.streaming import live
 
 
 def _ingest(s, d):
-    lines = logs.executor_lines(s, d).unionAll(logs.stage_lines(s, d)).unionAll(logs.job_lines(s, d))
-    store = new_path(s, "stream-events")
-    live.ingest(s, logs._write(lines, "live"), store, new_path(s, "checkpoint"))
+    """Every event line; the logs come in three parts, and the stream starts again for each."""
+    lines, path = logs.event_lines(s, d), new_path(s, "live")
+    store, mark = new_path(s, "stream-events"), new_path(s, "checkpoint")
+    for part in range(3):
+        lines.filter(f"CAST(substr(app_id, 5) AS INT) % 3 = {part}").select("app_id", "value").write.mode("append").partitionBy("app_id").text(path)
+        live.ingest(s, path, store, mark)
     return s.read.parquet(store).groupBy("event_type", "is_valid").count()
 
 
 register("stream_ingest", _ingest, nq(
-    """SELECT event AS event_type, ok AS is_valid, count(*) AS count FROM ev WHERE event LIKE '%Executor%' OR event LIKE '%Stage%' OR event LIKE '%Job%' GROUP BY 1, 2"""))
+    "SELECT event AS event_type, ok AS is_valid, count(*) AS count FROM ev GROUP BY 1, 2"))
 
 
 def _stream_tasks(s, d):
@@ -47,6 +52,19 @@ register("stream_task_windows", _windows("30 days"), _window_sql(30 * DAY, 30 *
 register("stream_task_windows_sliding", _windows("30 days", "10 days"), _window_sql(30 * DAY, 10 * DAY))
 
 
+def _counted(s, d):
+    """The tasks in six files that come in no order of time, one to a micro-batch."""
+    source, store = new_path(s, "stream-tasks"), new_path(s, "counted")
+    rows = v.tasks(s, d)
+    rows.withColumn("part", F.expr("task_id % 6")).repartition(6, "part").write.parquet(source)
+    stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    live.run_counted(stream, store, new_path(s, "checkpoint"), 30 * DAY, DAY)
+    return live.counted_windows(s, store, 30 * DAY)
+
+
+register("stream_counted_windows", _counted, _window_sql(30 * DAY, 30 * DAY))
+
+
 def _loss(s, d):
     source, store = new_path(s, "executor-events"), new_path(s, "loss")
     events = v.executor_events(s, d)

@@ -70,3 +70,46 @@ def run_append(windows: DataFrame, store: str, checkpoint: str) -> None:
     """Write each window once, when the watermark has passed its end; events later than that are dropped."""
     query = windows.writeStream.outputMode("append").format("parquet").option("path", store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+#: What a window keeps of its tasks, so that those of several micro-batches can be put together: name -> (expression, how).
+_PARTIAL = {"tasks": ("count(1)", "sum"), "sum_duration_ms": ("sum(duration_ms)", "sum"), "max_duration_ms": ("max(duration_ms)", "max"), "cpu_ms": ("sum(CAST(cpu_ns AS DOUBLE)) / 1e6D", "sum"),
+            "run_ms": ("sum(run_ms)", "sum"), "gc_ms": ("sum(gc_ms)", "sum")}
+_PROGRESS = "latest_ms LONG, rows LONG, late_rows LONG, batch LONG"
+
+
+def run_counted(tasks: DataFrame, store: str, checkpoint: str, every_ms: int, late_ms: int) -> None:
+    """Windows of a stream of tasks in which nothing vanishes.
+
+    Every micro-batch adds its own figures of each window to ``parts``. Rows whose window had been closed before the batch (its
+    end lies ``late_ms`` or more before the latest finish time of earlier batches) go to ``late`` instead, and their number to
+    ``progress``. All three are written by batch number, so a batch that is run again replaces itself.
+    """
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        latest = None
+        if batch_id:
+            latest = spark.read.schema(_PROGRESS).parquet(f"{store}/progress").filter(F.col("batch") < batch_id).agg(F.max("latest_ms")).first()[0]
+        closed = "false" if latest is None else f"coalesce(window_start_ms + {every_ms} <= {latest - late_ms}, false)"
+        rows = batch.selectExpr("*", f"finish_ms div {every_ms} * {every_ms} AS window_start_ms").withColumn("is_late", F.expr(closed)).persist()
+        for name, side in (("parts", "NOT is_late"), ("late", "is_late")):
+            rows.filter(side).groupBy("app_id", "window_start_ms").agg(*[F.expr(e).alias(n) for n, (e, _) in _PARTIAL.items()]).write.mode("overwrite").parquet(f"{store}/{name}/batch={batch_id}")
+        rows.agg(F.max("finish_ms").alias("latest_ms"), F.count("*").alias("rows"), F.count_if("is_late").alias("late_rows")).write.mode("overwrite").parquet(f"{store}/progress/batch={batch_id}")
+        rows.unpersist()
+
+    tasks.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def counted_windows(spark: SparkSession, store: str, every_ms: int, late: bool = True) -> DataFrame:
+    """The windows of ``run_counted`` so far, with or without the late rows; the last ones too, so a finished log needs no further event."""
+    rows = spark.read.parquet(f"{store}/parts")
+    if late:
+        rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{store}/late"))
+    out = rows.groupBy("app_id", "window_start_ms").agg(*[F.expr(f"{how}({n}) AS {n}") for n, (_, how) in _PARTIAL.items()])
+    return out.selectExpr("app_id", "window_start_ms", f"window_start_ms + {every_ms} AS window_end_ms", "tasks", f"{ratio('sum_duration_ms', 'tasks')} AS mean_duration_ms", "max_duration_ms",
+                          f"{ratio('cpu_ms', 'run_ms')} AS cpu_efficiency", f"{ratio('gc_ms', 'run_ms')} AS gc_overhead_ratio")
+
+
+def counted_progress(spark: SparkSession, store: str) -> DataFrame:
+    """(batch, latest_ms, rows, late_rows) of every micro-batch."""
+    return spark.read.schema(_PROGRESS).parquet(f"{store}/progress")
