@@ -16,6 +16,7 @@ from eventlens.operators import rules as R
 from eventlens.operators import stages as S
 from eventlens.plans.corpus import Diagnosis
 
+# Fixed texts that the results must carry, stated once more in the other dialect
 _SHUF = "(shuffle_read_bytes + shuffle_write_bytes)"
 RECS = {
     "bn_gc_pressure": f"""CASE WHEN gc_overhead_ratio > 0.4 THEN 'CRITICAL: GC overhead is ' || {pct('gc_overhead_ratio')} || ', severely impacting performance. Immediately increase executor memory by at least 50% and enable G1GC.'

@@ -46,6 +46,7 @@ _IDLE = percent(f"(1D - {EFF})")
 _INTENSITY = ratio("total_shuffle_bytes", "input_bytes + output_bytes")
 _SPILL_GC = "abs(spill_vs_gc)"
 
+# Fixed values and texts: conditions, severities, evidence and reasoning of the six detectors
 DETECTORS: dict[str, Detector] = {
     "bn_gc_pressure": Detector(
         "'GC Overhead / Memory Pressure'", "MEMORY", ("gc", "spill", "corr"), f"{GC} > 0.1D",

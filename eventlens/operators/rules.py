@@ -1,7 +1,7 @@
 """Declarative rules over (app_id, metric, value): a rule fires when all its patterns hold.
 
-Rules, thresholds and recommendations are small static tables, so they are broadcast; a
-user extends the engine by adding rows.
+Rules, thresholds and recommendations are tables that a user may extend, so joins carry no hint: the
+planner broadcasts them as long as they are small.
 """
 
 from __future__ import annotations
@@ -136,19 +136,19 @@ def recommendations_table(spark: SparkSession) -> DataFrame:
 
 
 HOLDS = ("CASE op WHEN '>' THEN value > threshold WHEN '<' THEN value < threshold WHEN '>=' THEN value >= threshold "
-         "WHEN '<=' THEN value <= threshold WHEN '==' THEN value = threshold ELSE false END")
+         "WHEN '<=' THEN value <= threshold WHEN '==' THEN value = threshold ELSE raise_error(concat('unknown operator in a rule: ', op)) END")
 
 
 def rules_eval(metrics_long: DataFrame, rules: DataFrame) -> DataFrame:
-    """(app_id, rule, matched, total, fires) for every application and rule."""
-    rows = metrics_long.join(F.broadcast(rules), "metric").selectExpr("app_id", "rule", "detector", "boost", "patterns", f"{HOLDS} AS hold")
+    """(app_id, rule, matched, total, fires) for every application and every rule with a metric that the application has."""
+    rows = metrics_long.join(rules, "metric").selectExpr("app_id", "rule", "detector", "boost", "patterns", f"{HOLDS} AS hold")
     return rows.groupBy("app_id", "rule", "detector", "boost", "patterns").agg(F.expr("count_if(hold) AS matched")).selectExpr(
         "app_id", "rule", "detector", "boost", "matched", "patterns AS total", "matched = patterns AS fires")
 
 
 def severity_from_thresholds(metrics_long: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Worst severity whose bound a metric passes; metrics within all bounds give no row."""
-    hit = metrics_long.join(F.broadcast(thresholds), "metric").filter(HOLDS)
+    hit = metrics_long.join(thresholds, "metric").filter(HOLDS)
     worst = hit.groupBy("app_id", "metric").agg(F.expr(f"min({severity_rank('severity')}) AS sev_rank"), F.expr("max(value) AS value"))
     return worst.selectExpr("app_id", "metric", "value", "sev_rank", "element_at(array('CRITICAL', 'HIGH', 'MEDIUM'), CAST(sev_rank AS INT) + 1) AS severity")
 
@@ -159,12 +159,12 @@ def rule_recommendations(metrics_long: DataFrame, rules: DataFrame, thresholds:
     Patterns and thresholds are joined in one pass over the metrics, then reduced to one row per rule.
     """
     bounds = thresholds.groupBy("metric").agg(F.expr("collect_list(struct(severity, op, threshold)) AS bounds"))
-    rows = metrics_long.join(F.broadcast(rules), "metric").join(F.broadcast(bounds), "metric", "left").selectExpr(
+    rows = metrics_long.join(rules, "metric").join(bounds, "metric", "left").selectExpr(
         "app_id", "rule", "patterns", f"{HOLDS} AS hold",
         f"array_min(transform(filter(bounds, b -> IF(b.op = '<', value < b.threshold, value > b.threshold)), b -> {severity_rank('b.severity')})) AS r")
     fired = rows.groupBy("app_id", "rule", "patterns").agg(F.expr("count_if(hold) AS matched"), F.expr("coalesce(min(r), 2) AS r")).filter("matched = patterns")
     fired = fired.selectExpr("app_id", "rule", "element_at(array('CRITICAL', 'HIGH', 'MEDIUM'), CAST(r AS INT) + 1) AS severity")
-    return fired.join(F.broadcast(recommendations), ["rule", "severity"])
+    return fired.join(recommendations, ["rule", "severity"])
 
 
 def rule_confidence(evaluated: DataFrame, findings: DataFrame) -> DataFrame:

@@ -82,6 +82,7 @@ def _issue(kind: str, severity: str, description: str, metric: str, value: str)
             f"'value', CAST({value} AS DOUBLE))")
 
 
+# Fixed texts: descriptions of the issues, in the order in which they are checked
 STRAGGLER = ratio("max_task_duration_ms", "mean_task_duration_ms")
 ISSUES = links(
     ("gc_ratio > 0.2D", _issue("HIGH_GC", "IF(gc_ratio > 0.3D, 'HIGH', 'MEDIUM')",

@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from eventlens.functions.text import format_bytes, format_duration, links, map_text, num, percent, severity_rank
 
@@ -222,6 +223,6 @@ def dashboard_feed(found: DataFrame, executor_counts: DataFrame) -> DataFrame:
            "'value', f.confidence * 100D, 'band', lower(f.severity)))")
     rows = found.selectExpr("app_id", f"explode(concat({links(*fixed)}, {top})) AS r").selectExpr("app_id", "r.*")
     load = executor_counts.selectExpr(
-        "app_id", "'executor_load' AS panel", "row_number() OVER (PARTITION BY app_id ORDER BY tasks DESC, executor_id) - 1 AS position",
-        "executor_id AS label", "CAST(tasks AS DOUBLE) AS value", "'normal' AS band").filter("position < 10")
+        "app_id", "'executor_load' AS panel", "row_number() OVER (PARTITION BY app_id ORDER BY tasks DESC, executor_id) AS position",
+        "executor_id AS label", "CAST(tasks AS DOUBLE) AS value", "'normal' AS band").filter("position <= 10").withColumn("position", F.expr("position - 1"))  # the limit is met before the shuffle
     return rows.unionByName(load)
