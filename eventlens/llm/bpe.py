@@ -2,7 +2,9 @@
 
 A token of a merge list is final once enough symbols behind it are known. The number needed follows from the list: a
 merge (a, b) can only be stopped by an earlier-ranked merge that takes the end of b, that one by a still earlier one,
-and so on; the longest such chain of ever smaller ranks, counted in symbols, is the sufficient lookahead.
+and so on; the longest such chain of ever smaller ranks, counted in symbols, is the sufficient lookahead for any prefix.
+``Stream`` finds for each prefix what is settled, which is mostly far sooner. Every word goes through it; the tokens of
+usual words are remembered.
 """
 
 from __future__ import annotations
@@ -43,6 +45,9 @@ class Merges:
         self.ranks = {p: r for r, p in enumerate(pairs)}
         self.longest = max(map(self.width, vocabulary), default=1)
         self.lookahead = self._lookahead(pairs)
+        #: Beginnings of tokens that more letters can complete.
+        self.open = frozenset(t[:k] for t in vocabulary for k in range(1, self.width(t)))
+        self.follows = Cache(lambda pair: self._follows(*pair), 400_000)
 
     def width(self, token: str) -> int:
         return max(1, len(token.removesuffix(self.end)) if self.end else len(token))
@@ -65,11 +70,20 @@ class Merges:
             made.setdefault(left + right, (left, right))
         return most + 1
 
-    def symbols(self, word: str, last: bool = True) -> list[str]:
-        out = [LETTER_OF[b] for b in word.encode("utf-8", "surrogatepass")]
-        if out and last:
-            out[-1] += self.end
-        return out
+    @staticmethod
+    def letters(word: str) -> str:
+        return "".join([LETTER_OF[b] for b in word.encode("utf-8", "surrogatepass")])
+
+    def symbols(self, token: str) -> list[str]:
+        """A token's letters, the end mark with the last one."""
+        n = self.width(token)
+        return [*token[:n - 1], token[n - 1:]]
+
+    def _follows(self, before: str, token: str) -> bool:
+        """May ``token`` stand behind ``before`` ('': at the beginning)? So if their letters give these two tokens again."""
+        if not before:
+            return self.merge(self.symbols(token)) == [token]
+        return self.merge(self.symbols(before) + self.symbols(token)) == [before, token]
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Apply the merges of smallest rank first, leftmost first."""
@@ -106,28 +120,58 @@ class Merges:
 
 
 class Stream:
-    """The transducer for one word: ``feed`` symbols, get the tokens that no later symbol can change."""
-
-    def __init__(self, merges: Merges, block: int = 512):
-        self.merges, self.block, self.held = merges, block, []
-
-    def feed(self, symbols: list[str], last: bool = False) -> list[str]:
-        out: list[str] = []
-        self.held += symbols
-        keep = self.merges.lookahead + self.merges.longest
-        while len(self.held) > keep + self.block:
-            part = self.held[:keep + self.block]
-            taken = 0
-            for token in self.merges.merge(list(part)):
-                size = self.merges.width(token)
-                if taken + size > self.block:
-                    break
-                out.append(token)
-                taken += size
-            self.held = self.held[taken:]
+    """The transducer for one word: ``feed`` symbols, get the tokens that no later symbol can change.
+
+    Every prefix of a word has a last token: the one suffix of it that is a token and can stand behind the last token of
+    what precedes it. Whatever follows, the final cut passes through one of the places where a token that is still open
+    may begin, so the tokens that the cuts up to all these places share are settled. Places further back than the merge
+    list's lookahead always agree, so the symbols held stay bounded.
+    """
+
+    def __init__(self, merges: Merges):
+        self.merges, self.held, self.lasts = merges, "", [""]  # lasts[k]: last token of the first k letters held
+
+    def _last(self, at: int, suffix: str = "") -> str:
+        """Last token of the first ``at`` letters held, with ``suffix`` behind them."""
+        merges, held, lasts = self.merges, self.held, self.lasts
+        for start in range(max(0, at - merges.longest), at):
+            token = held[start:at] + suffix
+            if token in merges.ids and lasts[start] is not None and merges.follows[lasts[start], token]:
+                return token
+        return None
+
+    def _settled(self) -> int:
+        """Letters held whose tokens are settled."""
+        n, open_, width = len(self.held), self.merges.open, self.merges.width
+        places = {n} | {k for k in range(max(0, n - self.merges.longest), n) if self.held[k:] in open_ and self.lasts[k] is not None}
+        while len(places) > 1:
+            most = max(places)
+            places.remove(most)
+            places.add(most - width(self.lasts[most]))
+        return places.pop()
+
+    def _cut(self, end: int) -> list[str]:
+        """Tokens of the first ``end`` letters held."""
+        out = []
+        while end:
+            out.append(self.lasts[end])
+            end -= self.merges.width(self.lasts[end])
+        return out[::-1]
+
+    def feed(self, letters: str, last: bool = False) -> list[str]:
+        lasts = self.lasts
+        before, self.held = len(self.held), self.held + letters
+        n = len(self.held)
+        for at in range(before + 1, n + 1):
+            lasts.append(self._last(at, self.merges.end if last and at == n else ""))
         if last:
-            out += self.merges.merge(self.held)
-            self.held = []
+            out = self._cut(n)
+            self.held, self.lasts = "", [""]
+            return out
+        settled = self._settled()
+        out = self._cut(settled)
+        if settled:  # the token before what is held still decides which may follow
+            self.held, self.lasts = self.held[settled:], [lasts[settled], *lasts[settled + 1:]]
         return out
 
 
@@ -177,24 +221,27 @@ class StreamingBpe:
         self.strings = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.file.added.items()}
         self.added = frozenset(self.file.added.values())
         self.plain = self.file.file["decoder"] is None
+        self._stream = Stream(self.merges)
         self._words = Cache(self._word)
         self._digests = Cache(self._digest)
         self._decoder = self.decoder()
 
     def _word(self, word: str) -> list[int]:
-        return [self.merges.ids[t] for t in self.merges.merge(self.merges.symbols(word))]
+        return [self.merges.ids[t] for t in self._stream.feed(self.merges.letters(word), True)]
 
     def decoder(self, plain: bool | None = None) -> Decoder:
         return Decoder(self.strings, self.merges.end, self.plain if plain is None else plain, self.added)
 
     def word_ids(self, word: str) -> Iterator[list[int]]:
+        """Runs of final ids. Words of usual length are remembered; a long one goes through the transducer in pieces."""
         if len(word) <= LONG_WORD:
             yield self._words[word]
             return
         stream = Stream(self.merges)
-        for k in range(0, len(word), 4096):
-            last = k + 4096 >= len(word)
-            yield [self.merges.ids[t] for t in stream.feed(self.merges.symbols(word[k:k + 4096], last), last)]
+        for k in range(0, len(word), LONG_WORD):
+            run = stream.feed(self.merges.letters(word[k:k + LONG_WORD]), k + LONG_WORD >= len(word))
+            if run:
+                yield [self.merges.ids[t] for t in run]
 
     def encode(self, text: str) -> Iterator[list[int]]:
         """Runs of final ids, in order."""
@@ -208,10 +255,9 @@ class StreamingBpe:
 
     def _digest(self, word: str) -> tuple[int, bytes, bytes]:
         """Of a word: number of ids, ids as little-endian bytes, decoded bytes without the space before."""
-        if len(word) > LONG_WORD:
-            runs = [(len(ids), _little(ids), self._text(ids)) for ids in self.word_ids(word) if ids]
-            return sum(r[0] for r in runs), b"".join(r[1] for r in runs), b" ".join(r[2] for r in runs)
-        ids = self._word(word)
+        return self._digested(self._word(word))
+
+    def _digested(self, ids: list[int]) -> tuple[int, bytes, bytes]:
         return len(ids), _little(ids), self._text(ids)
 
     def _text(self, ids: list[int]) -> bytes:
@@ -226,19 +272,32 @@ class StreamingBpe:
         if not self.plain:
             raise ValueError("digest() needs a file whose tokens are joined by spaces")
         n, ids, out = 0, hashlib.sha256(), hashlib.sha256()
+
+        def add(found: list[tuple[int, bytes, bytes]]) -> None:
+            nonlocal n
+            if found:
+                if n:
+                    out.update(b" ")
+                n += sum([f[0] for f in found])
+                ids.update(b"".join([f[1] for f in found]))
+                out.update(b" ".join([f[2] for f in found]))
+
+        get = self._digests
         for window in windows(text):
             for is_added, part in self.file.segments(window):
                 if is_added:
-                    found = [(1, _little([self.file.added[part]]), part.encode())]
-                else:
-                    get = self._digests
-                    found = [get[word] for word in self.file.words(self.file.normal(part))]
-                if found:
-                    if n:
-                        out.update(b" ")
-                    n += sum([f[0] for f in found])
-                    ids.update(b"".join([f[1] for f in found]))
-                    out.update(b" ".join([f[2] for f in found]))
+                    add([(1, _little([self.file.added[part]]), part.encode())])
+                    continue
+                found = []
+                for word in self.file.words(self.file.normal(part)):
+                    if len(word) <= LONG_WORD:
+                        found.append(get[word])
+                        continue
+                    add(found)
+                    found = []
+                    for run in self.word_ids(word):
+                        add([self._digested(run)])
+                add(found)
         return n, ids.hexdigest(), out.hexdigest()
 
 

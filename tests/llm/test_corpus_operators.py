@@ -44,15 +44,60 @@ def test_bpe_equals_the_library(spark, odd, documents):
     assert got == sorted(want(r.text) for r in docs.collect())
 
 
+def _rank_by_rank(merges, word):
+    """The definition: the pair of smallest rank merges, leftmost first, until none is left."""
+    symbols = merges.symbols(word + merges.end)
+    while len(symbols) > 1:
+        rank, k = min((merges.ranks.get(p, 1 << 60), k) for k, p in enumerate(zip(symbols, symbols[1:])))
+        if rank == 1 << 60:
+            break
+        symbols[k:k + 2] = [symbols[k] + symbols[k + 1]]
+    return symbols
+
+
+def _streamed(merges, word, step):
+    stream, out, held = bpe.Stream(merges), [], 0
+    for k in range(0, len(word), step):
+        out += stream.feed(word[k:k + step], k + step >= len(word))
+        held = max(held, len(stream.held))
+    return out, held
+
+
 def test_bpe_stream_needs_no_more_than_its_lookahead():
-    codec = bpe.codec(PATH)
+    merges = bpe.codec(PATH).merges
     rng = np.random.default_rng(3)
-    for letters in ("ab", "thing", "aeionrst"):
-        word = "".join(rng.choice(list(letters), 3000))
-        stream = bpe.Stream(codec.merges, block=64)
-        symbols = codec.merges.symbols(word)
-        out = [t for k in range(0, len(symbols), 97) for t in stream.feed(symbols[k:k + 97])] + stream.feed([], True)
-        assert out == codec.merges.merge(codec.merges.symbols(word))
+    for letters in ("ab", "thing", "aeionrst", "a"):
+        word = "".join(rng.choice(list(letters), 1500))
+        for step in (1, 97):
+            out, held = _streamed(merges, word, step)
+            assert out == _rank_by_rank(merges, word) and held <= merges.lookahead + merges.longest
+            assert held < 64  # what a prefix settles is far more than the bound for any prefix
+
+
+def test_bpe_stream_of_random_merge_lists():
+    rng = np.random.default_rng(5)
+    for end in ("", "</w>"):
+        for _ in range(60):
+            tokens = [x + e for x in "abc" for e in {"", end}]
+            pairs = []
+            while len(pairs) < 25:
+                left, right = (tokens[k] for k in rng.integers(0, len(tokens), 2))
+                if not (end and left.endswith(end)) and (left, right) not in pairs and len(left + right) < 14:
+                    pairs.append((left, right))
+                    if left + right not in tokens:
+                        tokens.append(left + right)
+            merges = bpe.Merges({t: k for k, t in enumerate(tokens)}, pairs, end)
+            for _ in range(8):
+                word = "".join(rng.choice(list("abc"), int(rng.integers(1, 40))))
+                assert _streamed(merges, word, int(rng.integers(1, 9)))[0] == _rank_by_rank(merges, word), (pairs, word)
+
+
+def test_every_word_goes_through_the_stream(monkeypatch):
+    codec, seen = bpe.StreamingBpe(PATH), []
+    feed = bpe.Stream.feed
+    monkeypatch.setattr(bpe.Stream, "feed", lambda self, letters, last=False: (seen.append(letters), feed(self, letters, last))[1])
+    codec.digest("a few short words " + "y" * 900)
+    assert "".join(seen) == "afewshortwords" + "y" * 900
 
 
 def test_bytes_round_trip():
