@@ -20,15 +20,19 @@ from pyspark.sql import functions as F
 
 #: Labelled pages used in training, at most about so many (all when there are fewer).
 TRAIN_PAGES = 2_000
-_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN_MARK = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
+#: Attributes as HTML has them: a quote opens a value only behind an equals sign; one that is never closed is a letter.
+_ATTRIBUTES = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+"
+_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(" + _ATTRIBUTES + r")(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
 _TOKEN = re.compile(r"[a-z]+")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none")
 # Fixed values of the format: elements without content, without text, with raw text, and inside a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template textarea title iframe svg annotation".split())
+NESTED = frozenset("svg template".split())
+INLINE = frozenset("""a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output q ruby rp rt s samp small span strike strong sub sup time tt u var wbr object
+math semantics mi mo mn ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mstyle mspace mpadded mphantom menclose""".split())
 #: A start tag of the value's set ends an open element of the key.
 ENDS = {"p": frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()),
         "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody"]), "td": frozenset(["td", "th", "tr", "tbody"]),
@@ -59,21 +63,52 @@ def hint_of(tag: str, attributes: str) -> str:
     """What the tag, class, id and role say: ``aside``, ``main`` or ``none``."""
     if tag in ("html", "body"):
         return "none"
-    words = {tag}
-    if "=" in attributes:
-        for m in _NAMED.finditer(attributes):
-            words.update(_TOKEN.findall((m[2] or m[3] or m[4] or "").lower()))
-    if words & ASIDE or "hidden" in attributes and _HIDDEN_MARK.search(attributes):
+    words, hidden = {tag}, False
+    if "=" in attributes or "hidden" in attributes:
+        for m in _ATTRIBUTE.finditer(attributes):
+            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            if name in ("class", "id", "role"):
+                words.update(_TOKEN.findall(value))
+            hidden = hidden or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and bool(_NO_DISPLAY.search(value))
+    if hidden or words & ASIDE:
         return "aside"
     return "main" if tag in ("article", "main") or len(words) > 1 and words & MAIN else "none"
 
 
+def raw_ends(page: str, tag: str) -> dict[int, int]:
+    """Place behind a start tag -> place behind its end tag, for the closed elements ``tag`` of a page, in one reading.
+
+    svg and template may hold others of their kind; any other one ends with the first end tag.
+    """
+    out: dict[int, int] = {}
+    open_: list[int] = []
+    for m in re.compile(f"<(/?){tag}(?=[\\s/>]|\\Z){_ATTRIBUTES}(?:>|\\Z)", re.I).finditer(page):
+        if not m[1]:
+            open_.append(m.end())
+        elif tag in NESTED:
+            if open_:
+                out[open_.pop()] = m.end()
+        else:
+            out.update(dict.fromkeys(open_, m.end()))
+            open_.clear()
+    return out
+
+
+def raw_stop(page: str, pos: int, tag: str, parent: Node) -> int:
+    """Where an element that is never closed ends: with an element that it lies in, svg also where a paragraph, heading, list or table begins, or with the page."""
+    ends = "|".join(sorted({x.tag for x in _line(parent) if x.parent is not None and x.tag.isalnum()}))
+    stops = ([f"</(?:{ends})(?=[\\s>])"] if ends else []) + [r"<(?:p|div|h[1-6]|ul|ol|dl|table|pre|blockquote)(?=[\s>])"] * (tag == "svg")
+    stop = re.compile("|".join(stops), re.I).search(page, pos) if stops else None
+    return stop.start() if stop else len(page)
+
+
 def parse(page: str) -> list[Node]:
     """Nodes in page order, parents first. Text blocks are leaves; lines broken only by inline elements are one block."""
     root = Node("html", None)
     nodes, at = [root], root
     parts: list[str] = []
     linked, link = 0, 0
+    raw: dict[str, dict[int, int]] = {}
 
     def close_block():
         nonlocal parts, linked
@@ -114,8 +149,9 @@ def parse(page: str) -> list[Node]:
             continue
         if tag in RAW:
             if not closing and not m[3].endswith("/"):
-                end = re.compile(f"</{re.escape(tag)}[^>]*(?:>|\\Z)", re.I).search(page, pos)
-                pos = end.end() if end else n
+                if tag not in raw:
+                    raw[tag] = raw_ends(page, tag)
+                pos = raw[tag].get(pos) or raw_stop(page, pos, tag, at)
             continue
         close_block()
         if tag in VOID:
@@ -195,6 +231,8 @@ PRIOR = {("f", "hint=aside", 0): 200, ("f", "hint=aside", 1): 0.02, ("f", "hint=
          ("e", "0", 0): 200, ("e", "0", 1): 10, ("e", "1", 1): 200, ("e", "1", 0): 4, ("n", "", 0): 10, ("n", "", 1): 10}
 
 
+#: Strength of the priors: what labelled pages say about transitions and hints weighs at most so many observations against
+#: the pseudo-counts above, since pages label themselves by those same hints. ``LOOKS``: weight of looks among siblings.
 SAY, LOOKS = 400, 0.5
 
 

@@ -284,6 +284,23 @@ def test_spotsigs_equal_brute_force(spark, odd, documents):
         assert (got[i].n_chars, got[i].edited_sha256, got[i].fingerprint, got[i].near_edited, got[i].near_next) == want
 
 
+@pytest.mark.parametrize(("inside", "want"), [
+    ("<p title=it's>First part.</p><p>Second part don't end.</p><p>Third.</p>", "First part.\nSecond part don't end.\nThird."),
+    ('<p title="a > b">First.</p><p data-x=a"b>Second "so".</p>', 'First.\nSecond "so".'),
+    ("<p class= 'lead' title=\"it's\">First.</p><p lang=en/>Second.</p>", "First.\nSecond."),
+    ('<p title="the class=ad of role=banner">First.</p>', "First."),
+    ('<p>First.</p><p title="never closed>Second.</p>', "First.\nSecond."),
+    ("<p>First.</p><svg><path d='M0'><text>x</text></svg><p>Second.</p>", "First.\nSecond."),
+    ("<p>First.</p><svg><svg><text>x</text></svg><text>y</text></svg><p>Second.</p>", "First.\nSecond."),
+    ("<p>First.</p><svg><path d='M0'><p>Second.</p>", "First.\nSecond."),
+    ("<p>First.</p><div><script>var a = '<p>no</p>';</div><p>Second.</p>", "First.\nSecond."),
+    ("<p>Let <math><msup><mi>x</mi><mn>2</mn></msup><annotation encoding='t'>x^2</annotation></math> be.</p><object data=a><p>Shown instead.</p></object>", "Let x2 be.\nShown instead."),
+])
+def test_html_odd_markup_loses_no_text(inside, want):
+    page = f"<html><body><nav><a href='/'>Home</a></nav><article>{inside}</article><footer>(c) all</footer></body></html>"
+    assert htmltree.TreeModel({}).text(page) == want
+
+
 def test_html_main_text(spark):
     page = ('<html><head><title>T</title><script>var a="<p>x</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="ad">Buy</div><article><h1>Head &amp; tail</h1>'
             '<p>One   <b>two</b>\nthree.<p>Four &eacute;.</article><div id="comments"><p>I think so too.</p></div><footer>(c)</footer></body></html>')
