@@ -13,6 +13,11 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit("")).alias(name)
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(doc, text): every row as a struct beside its text, so that no working column clashes with a column of the table."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("text"))
+
+
 def remainder(name: str, n: int) -> Column:
     """crc32 of a value's decimal text modulo ``n``; null stays null."""
     return F.crc32(F.col(name).cast("string").cast("binary")) % n

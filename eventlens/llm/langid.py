@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from eventlens.llm.common import remainder
+from eventlens.llm.common import remainder, whole_rows
 
 DIMENSIONS, GRAM = 512, 3
 #: Labelled rows used for the prototypes, at most about so many (all when there are fewer).
@@ -168,8 +169,8 @@ def identify(docs: DataFrame, profiles: dict[str, list[float]], keep: tuple[str,
                     scores.append(float(min(1.0, max(0.0, cos[row, k]))) if known else 0.0)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "_lang", "_score"])
 
-    kinds = dict(docs.dtypes)
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", _lang string, _score double")
+    given = docs.select(*keep, F.col(text_col).alias("_text"))
+    return given.mapInArrow(run, StructType([*(StructField(f.name, f.dataType) for f in given.schema[:-1]), StructField("_lang", StringType()), StructField("_score", DoubleType())]))
 
 
 def held_out(name: str = "doc_id"):
@@ -184,6 +185,6 @@ def predicted(docs: DataFrame) -> DataFrame:
 
 
 def known_language(docs: DataFrame, least: float = 0.05) -> DataFrame:
-    """Documents with a recognised language: not ``und`` and a cosine of at least ``least``. Columns stay as they are."""
+    """Documents with a recognised language: not ``und`` and a cosine of at least ``least``. Columns stay as they are, whatever their names."""
     profiles = prototypes(docs.where(~held_out()))
-    return identify(docs, profiles, tuple(docs.columns)).where(F.col("_lang") != "und").where(F.col("_score") >= least).select(*docs.columns)
+    return identify(whole_rows(docs), profiles, ("doc",)).where(F.col("_lang") != "und").where(F.col("_score") >= least).select("doc.*")

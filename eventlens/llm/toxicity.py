@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from eventlens.llm.common import remainder
+from eventlens.llm.common import remainder, whole_rows
 from eventlens.plans.stash import stash
 
 BITS, ORDERS = 20, (5, 7)
@@ -148,8 +149,8 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
             out = [model.score(x.as_py() or "") for x in b.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(out, pa.float64())], [*keep, "_toxic"])
 
-    kinds = dict(docs.dtypes)
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", _toxic double")
+    given = docs.select(*keep, F.col(text_col).alias("_text"))
+    return given.mapInArrow(run, StructType([*(StructField(f.name, f.dataType) for f in given.schema[:-1]), StructField("_toxic", DoubleType())]))
 
 
 def predicted(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -160,5 +161,5 @@ def predicted(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def harmless(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents scored below the threshold. Columns stay as they are."""
-    return score(docs, train(docs, labels), tuple(docs.columns)).where(F.col("_toxic") < THRESHOLD).select(*docs.columns)
+    """Documents scored below the threshold. Columns stay as they are, whatever their names."""
+    return score(whole_rows(docs), train(docs, labels), ("doc",)).where(F.col("_toxic") < THRESHOLD).select("doc.*")
