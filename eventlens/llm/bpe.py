@@ -50,7 +50,9 @@ class Merges:
         self.follows = Cache(lambda pair: self._follows(*pair), 400_000)
 
     def width(self, token: str) -> int:
-        return max(1, len(token.removesuffix(self.end)) if self.end else len(token))
+        """Letters of a token, its end mark apart."""
+        n = len(token)
+        return (n - len(self.end) or 1) if self.end and token.endswith(self.end) else n or 1
 
     def _lookahead(self, pairs: list[tuple[str, str]]) -> int:
         """Symbols behind a token that settle it. ``need[t]``: the longest chain that starts by taking t from its owner."""
@@ -83,6 +85,8 @@ class Merges:
         """May ``token`` stand behind ``before`` ('': at the beginning)? So if their letters give these two tokens again."""
         if not before:
             return self.merge(self.symbols(token)) == [token]
+        if (before, token) in self.ranks:  # neighbours that merge are never left side by side
+            return False
         return self.merge(self.symbols(before) + self.symbols(token)) == [before, token]
 
     def merge(self, symbols: list[str]) -> list[str]:
@@ -131,19 +135,32 @@ class Stream:
     def __init__(self, merges: Merges):
         self.merges, self.held, self.lasts = merges, "", [""]  # lasts[k]: last token of the first k letters held
 
-    def _last(self, at: int, suffix: str = "") -> str:
-        """Last token of the first ``at`` letters held, with ``suffix`` behind them."""
-        merges, held, lasts = self.merges, self.held, self.lasts
-        for start in range(max(0, at - merges.longest), at):
-            token = held[start:at] + suffix
-            if token in merges.ids and lasts[start] is not None and merges.follows[lasts[start], token]:
-                return token
-        return None
+    def _read(self, first: int, n: int) -> None:
+        """Last tokens of the prefixes of ``first`` to ``n`` letters held."""
+        held, lasts, longest, ids, follows = self.held, self.lasts, self.merges.longest, self.merges.ids, self.merges.follows
+        for at in range(first, n + 1):
+            for start in range(at - longest if at > longest else 0, at):
+                token = held[start:at]
+                if token in ids and follows[lasts[start], token]:
+                    lasts.append(token)
+                    break
+            else:
+                raise ValueError(f"the vocabulary has no token for {held[at - 1]!r}")
+
+    def _close(self, n: int) -> None:
+        """Last token of the word: its last letter bears the end mark."""
+        held, lasts, merges = self.held, self.lasts, self.merges
+        for start in range(max(0, n - merges.longest), n):
+            token = held[start:n] + merges.end
+            if token in merges.ids and merges.follows[lasts[start], token]:
+                lasts.append(token)
+                return
+        raise ValueError(f"the vocabulary has no token for {held[n - 1] + merges.end!r}")
 
     def _settled(self) -> int:
         """Letters held whose tokens are settled."""
         n, open_, width = len(self.held), self.merges.open, self.merges.width
-        places = {n} | {k for k in range(max(0, n - self.merges.longest), n) if self.held[k:] in open_ and self.lasts[k] is not None}
+        places = {n} | {k for k in range(max(0, n - self.merges.longest), n) if self.held[k:] in open_}
         while len(places) > 1:
             most = max(places)
             places.remove(most)
@@ -159,19 +176,23 @@ class Stream:
         return out[::-1]
 
     def feed(self, letters: str, last: bool = False) -> list[str]:
-        lasts = self.lasts
+        """Tokens settled by ``letters``. The word's last letter comes with ``last``, since the end mark makes it another symbol."""
+        if last and self.held and not letters:
+            raise ValueError("the last letter of a word has to come with last=True")
         before, self.held = len(self.held), self.held + letters
         n = len(self.held)
-        for at in range(before + 1, n + 1):
-            lasts.append(self._last(at, self.merges.end if last and at == n else ""))
         if last:
+            if n:
+                self._read(before + 1, n - 1)
+                self._close(n)
             out = self._cut(n)
             self.held, self.lasts = "", [""]
             return out
+        self._read(before + 1, n)
         settled = self._settled()
         out = self._cut(settled)
-        if settled:  # the token before what is held still decides which may follow
-            self.held, self.lasts = self.held[settled:], [lasts[settled], *lasts[settled + 1:]]
+        # The token before what is held still decides which may follow.
+        self.held, self.lasts = self.held[settled:], self.lasts[settled:]
         return out
 
 
