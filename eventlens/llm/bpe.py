@@ -48,12 +48,21 @@ class Merges:
         #: Beginnings of tokens that more letters can complete.
         self.open = frozenset(t[:k] for t in vocabulary for k in range(1, self.width(t)))
         self.follows = Cache(lambda pair: self._follows(*pair), 400_000)
+        #: Last three letters -> letters of the longest token that ends in them, within a word and at its end.
+        self.reach, self.reach_end = self._reach(vocabulary), self._reach(t.removesuffix(self.end) for t in vocabulary if t.endswith(self.end))
 
     def width(self, token: str) -> int:
         """Letters of a token, its end mark apart."""
         n = len(token)
         return (n - len(self.end) or 1) if self.end and token.endswith(self.end) else n or 1
 
+    def _reach(self, tokens: Iterable[str]) -> dict[str, int]:
+        found: dict[str, int] = {}
+        for t in tokens:
+            if len(t) > 2:
+                found[t[-3:]] = max(found.get(t[-3:], 0), min(len(t), self.longest))
+        return found
+
     def _lookahead(self, pairs: list[tuple[str, str]]) -> int:
         """Symbols behind a token that settle it. ``need[t]``: the longest chain that starts by taking t from its owner."""
         made: dict[str, tuple[str, str]] = {}
@@ -137,8 +146,9 @@ class Stream:
 
     def _read(self, first: int, n: int) -> None:
         """Last tokens of the prefixes of ``first`` to ``n`` letters held."""
-        held, lasts, longest, ids, follows = self.held, self.lasts, self.merges.longest, self.merges.ids, self.merges.follows
+        held, lasts, reach, ids, follows = self.held, self.lasts, self.merges.reach, self.merges.ids, self.merges.follows
         for at in range(first, n + 1):
+            longest = reach.get(held[at - 3:at], 2) if at > 2 else at
             for start in range(at - longest if at > longest else 0, at):
                 token = held[start:at]
                 if token in ids and follows[lasts[start], token]:
@@ -150,7 +160,8 @@ class Stream:
     def _close(self, n: int) -> None:
         """Last token of the word: its last letter bears the end mark."""
         held, lasts, merges = self.held, self.lasts, self.merges
-        for start in range(max(0, n - merges.longest), n):
+        longest = merges.reach_end.get(held[n - 3:n], 2) if n > 2 else n
+        for start in range(max(0, n - longest), n):
             token = held[start:n] + merges.end
             if token in merges.ids and merges.follows[lasts[start], token]:
                 lasts.append(token)
@@ -299,20 +310,25 @@ class StreamingBpe:
             if found:
                 if n:
                     out.update(b" ")
-                n += sum([f[0] for f in found])
-                ids.update(b"".join([f[1] for f in found]))
-                out.update(b" ".join([f[2] for f in found]))
+                counts, data, texts = zip(*found)
+                n += sum(counts)
+                ids.update(b"".join(data))
+                out.update(b" ".join(texts))
 
-        get = self._digests
+        get = self._digests.__getitem__
         for window in windows(text):
             for is_added, part in self.file.segments(window):
                 if is_added:
                     add([(1, _little([self.file.added[part]]), part.encode())])
                     continue
+                words = self.file.words(self.file.normal(part))
+                if len(max(words, key=len, default="")) <= LONG_WORD:
+                    add(list(map(get, words)))
+                    continue
                 found = []
-                for word in self.file.words(self.file.normal(part)):
+                for word in words:
                     if len(word) <= LONG_WORD:
-                        found.append(get[word])
+                        found.append(get(word))
                         continue
                     add(found)
                     found = []

@@ -365,3 +365,23 @@ def test_empty_tables(spark, odd):
                  surrogates.replaced(empty), spotsigs.edited_neighbours(empty), multiindex.linked(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")),
                  htmltree.main_text(spark.createDataFrame([], "page_id long, url string, html string"))):
         assert made.count() == 0
+
+
+def test_tokens_are_searched_from_the_longest_that_ends_there():
+    from eventlens.llm.bpe import Merges, Stream
+
+    class Counted(dict):
+        asked = 0
+
+        def __contains__(self, token):
+            Counted.asked += 1
+            return super().__contains__(token)
+
+    letters = "abcdefgh"
+    chain = [letters[:k] for k in range(2, 9)]
+    words = {t: i for i, t in enumerate([*letters, *(x + "</w>" for x in letters), *chain])}
+    merges = Merges(words, [f"{t[:-1]} {t[-1]}" for t in chain], "</w>")
+    merges.ids = Counted(words)
+    word = "abcdefgh" + "hgfedcba" * 5
+    got = Stream(merges).feed(word, True)
+    assert got == merges.merge(merges.symbols(word + "</w>")) and Counted.asked < 3 * len(word)
