@@ -14,10 +14,10 @@ from eventlens.streaming import live
 
 def _ingest(s, d):
     """Every event line; the logs come in three parts, and the stream starts again for each."""
-    lines, path = logs.event_lines(s, d), new_path(s, "live")
+    path = new_path(s, "live")
     store, mark = new_path(s, "stream-events"), new_path(s, "checkpoint")
     for part in range(3):
-        lines.filter(f"CAST(substr(app_id, 5) AS INT) % 3 = {part}").select("app_id", "value").write.mode("append").partitionBy("app_id").text(path)
+        logs.write_events(s, d, path, only=f"CAST(substr(app_id, 5) AS INT) % 3 = {part}")
         live.ingest(s, path, store, mark)
     return s.read.parquet(store).groupBy("event_type", "is_valid").count()
 
@@ -53,11 +53,12 @@ register("stream_task_windows_sliding", _windows("30 days", "10 days"), _window_
 
 
 def _counted(s, d):
-    """The tasks in six files that come in no order of time, one to a micro-batch."""
+    """The tasks in files that come in no order of time, a sixth of them to a micro-batch; every task that reads line items writes six."""
     source, store = new_path(s, "stream-tasks"), new_path(s, "counted")
     rows = v.tasks(s, d)
-    rows.withColumn("part", F.expr("task_id % 6")).repartition(6, "part").write.parquet(source)
-    stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    rows.withColumn("part", F.expr("task_id % 6")).write.partitionBy("part").parquet(source)
+    files = len(s.read.schema(rows.schema).parquet(source).inputFiles())
+    stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, -(-files // 6))).parquet(source)
     live.run_counted(stream, store, new_path(s, "checkpoint"), 30 * DAY, DAY)
     return live.counted_windows(s, store, 30 * DAY)
 

@@ -24,7 +24,7 @@ def ingest(spark: SparkSession, path: str, store: str, checkpoint: str) -> None:
     The checkpoint records which files are done, so a lost executor or a restart neither drops nor repeats events.
     """
     events = stream_events(spark, path).withColumnRenamed("Event", "event_type")
-    query = (events.writeStream.format("parquet").partitionBy("event_type").option("path", store)
+    query = (events.writeStream.format("parquet").partitionBy("event_type").option("path", store).option("compression", "zstd")
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
 
@@ -83,7 +83,8 @@ def run_counted(tasks: DataFrame, store: str, checkpoint: str, every_ms: int, la
 
     Every micro-batch adds its own figures of each window to ``parts``. Rows whose window had been closed before the batch (its
     end lies ``late_ms`` or more before the latest finish time of earlier batches) go to ``late`` instead, and their number to
-    ``progress``. All three are written by batch number, so a batch that is run again replaces itself.
+    ``progress``; all three are taken from the batch's ``windows``, its figures by window and lateness. All are written by batch
+    number, so a batch that is run again replaces itself.
     """
     def save(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -91,11 +92,14 @@ def run_counted(tasks: DataFrame, store: str, checkpoint: str, every_ms: int, la
         if batch_id:
             latest = spark.read.schema(_PROGRESS).parquet(f"{store}/progress").filter(F.col("batch") < batch_id).agg(F.max("latest_ms")).first()[0]
         closed = "false" if latest is None else f"coalesce(window_start_ms + {every_ms} <= {latest - late_ms}, false)"
-        rows = batch.selectExpr("*", f"finish_ms div {every_ms} * {every_ms} AS window_start_ms").withColumn("is_late", F.expr(closed)).persist()
+        # one pass over the batch; what is kept of it has a row or two per window
+        found = batch.selectExpr("*", f"finish_ms div {every_ms} * {every_ms} AS window_start_ms").groupBy("app_id", "window_start_ms", F.expr(closed).alias("is_late")).agg(
+            F.max("finish_ms").alias("latest_ms"), *[F.expr(e).alias(n) for n, (e, _) in _PARTIAL.items()])
+        found.coalesce(8).write.mode("overwrite").parquet(f"{store}/windows/batch={batch_id}")
+        windows = spark.read.schema(found.schema).parquet(f"{store}/windows/batch={batch_id}")
         for name, side in (("parts", "NOT is_late"), ("late", "is_late")):
-            rows.filter(side).groupBy("app_id", "window_start_ms").agg(*[F.expr(e).alias(n) for n, (e, _) in _PARTIAL.items()]).write.mode("overwrite").parquet(f"{store}/{name}/batch={batch_id}")
-        rows.agg(F.max("finish_ms").alias("latest_ms"), F.count("*").alias("rows"), F.count_if("is_late").alias("late_rows")).write.mode("overwrite").parquet(f"{store}/progress/batch={batch_id}")
-        rows.unpersist()
+            windows.filter(side).drop("is_late", "latest_ms").write.mode("overwrite").parquet(f"{store}/{name}/batch={batch_id}")
+        windows.agg(F.max("latest_ms").alias("latest_ms"), F.expr("coalesce(sum(tasks), 0) AS rows"), F.expr("coalesce(sum(tasks) FILTER (WHERE is_late), 0) AS late_rows")).write.mode("overwrite").parquet(f"{store}/progress/batch={batch_id}")
 
     tasks.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
