@@ -4,13 +4,13 @@ import gzip
 import json
 
 import pytest
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 from eventlens.bench import logs, reg_stream
 from eventlens.bench import views as v
-from eventlens.plans.stash import shared_folder
-from eventlens.sources import normalize, readers
+from eventlens.plans.stash import setting, shared_folder
+from eventlens.sources import normalize, readers, sinks, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,3 +63,36 @@ def test_stream_source_is_written_where_it_is_read(spark, tables_of_apps, monkey
     monkeypatch.setattr(DataFrame, "repartition", refuse)
     assert shared_folder(spark)
     assert reg_stream._counted(spark, tables_of_apps).agg(F.sum("tasks")).first()[0] == v._read(spark, tables_of_apps, "lineitem").count()
+
+
+def test_events_are_not_shuffled_for_their_application(spark, tmp_path):
+    (tmp_path / "a.json").write_text("".join(json.dumps({"Event": "SparkListenerApplicationStart" if k == 7 else "x", "App ID": "app-a", "Timestamp": k}) + "\n" for k in range(9000)))
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "20000"):  # less than the log, as with large logs
+        events = tables.attach_app_ids(readers.scan_ndjson(spark, str(tmp_path)))
+        plan = events._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+        assert [tuple(r) for r in events.groupBy("app_id").count().collect()] == [("app-a", 9000)]
+
+
+def test_logs_are_in_order_before_they_are_text(spark, tables_of_apps):
+    items = v._read(spark, tables_of_apps, "lineitem").withColumn("app_id", F.expr(v.APP_OF_ITEM))
+    for where in ("false", "true"):
+        lines = logs._array(logs._task_lines(logs._rolled(items, "tasks"), "app_id", "folder", "roll", "first", "last"), where)
+        files = lines.select(F.col("folder").alias("eventlog_v2_app_id"), "roll", "value")
+        order = files._jdf.queryExecution().optimizedPlan().outputOrdering().mkString(", ")
+        assert order.startswith("eventlog_v2_app_id") and ", roll" in order
+        assert not files.schema["eventlog_v2_app_id"].nullable and not files.schema["roll"].nullable
+
+
+def test_wide_events_are_written_without_a_sort(spark, tmp_path, monkeypatch):
+    seen = []
+    key = sinks.OPEN_FILES[0]
+    for name in ("json", "parquet"):
+        monkeypatch.setattr(DataFrameWriter, name, lambda self, *a, f=getattr(DataFrameWriter, name), **b: (seen.append(spark.conf.get(key)), f(self, *a, **b))[1])
+    events = spark.range(60).selectExpr("concat('app-', id % 40) AS app_id", "concat('e', id % 40) AS Event", "id AS Timestamp")
+    before = spark.conf.get(key, None)
+    sinks.write_events_json(events, str(tmp_path / "json"))
+    sinks.write_events_parquet(events, str(tmp_path / "parquet"))
+    assert seen == [sinks.OPEN_FILES[1]] * 2 and spark.conf.get(key, None) == before
+    # also with more folders than open files
+    assert spark.read.json(str(tmp_path / "json")).groupBy("app_id").count().count() == 40 and spark.read.parquet(str(tmp_path / "parquet")).count() == 60
