@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventlens.functions.text import ratio
+from eventlens.plans.stash import setting
 from eventlens.schema import event_schema
 from eventlens.sources.normalize import typed
+from eventlens.sources.sinks import OPEN_FILES
 
 
 def stream_events(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -24,9 +26,10 @@ def ingest(spark: SparkSession, path: str, store: str, checkpoint: str) -> None:
     The checkpoint records which files are done, so a lost executor or a restart neither drops nor repeats events.
     """
     events = stream_events(spark, path).withColumnRenamed("Event", "event_type")
-    query = (events.writeStream.format("parquet").partitionBy("event_type").option("path", store).option("compression", "zstd")
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    query.awaitTermination()
+    with setting(spark, *OPEN_FILES):
+        query = (events.writeStream.format("parquet").partitionBy("event_type").option("path", store).option("compression", "zstd")
+                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        query.awaitTermination()
 
 
 def task_windows(tasks: DataFrame, every: str = "1 day", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
