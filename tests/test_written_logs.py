@@ -66,12 +66,14 @@ def test_stream_source_is_written_where_it_is_read(spark, tables_of_apps, monkey
 
 
 def test_events_are_not_shuffled_for_their_application(spark, tmp_path):
-    (tmp_path / "a.json").write_text("".join(json.dumps({"Event": "SparkListenerApplicationStart" if k == 7 else "x", "App ID": "app-a", "Timestamp": k}) + "\n" for k in range(9000)))
-    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "20000"):  # less than the log, as with large logs
-        events = tables.attach_app_ids(readers.scan_ndjson(spark, str(tmp_path)))
-        plan = events._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
-        assert [tuple(r) for r in events.groupBy("app_id").count().collect()] == [("app-a", 9000)]
+    (tmp_path / "a.json").write_text("".join(json.dumps({"Event": "SparkListenerApplicationStart" if k == 7 else "x", "App ID": "app-a", "Timestamp": k}) + "\n" for k in range(90_000)))
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "8000"):  # less than the log, as with large logs
+        scanned = readers.scan_ndjson(spark, str(tmp_path))
+        stored, lazy = [tables.attach_app_ids(scanned, ids) for ids in (None, tables.log_ids(scanned))]
+        plans = [e._jdf.queryExecution().executedPlan().toString() for e in (stored, lazy)]
+        assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
+        assert "SortMergeJoin" in plans[1]  # ids of unknown size, as it was
+        assert [[tuple(r) for r in e.groupBy("app_id").count().collect()] for e in (stored, lazy)] == [[("app-a", 90_000)]] * 2
 
 
 def test_logs_are_in_order_before_they_are_text(spark, tables_of_apps):
