@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventlens.plans.stash import stash
 
+#: Edges that a task merges at once.
+EDGES = 1 << 20
+
 
 def whole_text(name: str = "text") -> Column:
     """The text, a null one as empty."""
@@ -23,28 +30,57 @@ def remainder(name: str, n: int) -> Column:
     return F.crc32(F.col(name).cast("string").cast("binary")) % n
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, smallest node it reaches) of the edges given; a smallest node itself is left out."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[:len(a)], at[len(a):]
+    low = np.arange(len(nodes))
+    while len(i):
+        np.minimum.at(low, np.maximum(i, j), np.minimum(i, j))
+        while (low[low] != low).any():
+            low = low[low]
+        i, j = low[i], low[j]
+        i, j = i[i != j], j[i != j]
+    moved = low != np.arange(len(nodes))
+    return nodes[moved], nodes[low[moved]]
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (a, b) of a task as stars: one link for each node, or for each ``EDGES`` edges that it is in."""
+    waiting: list[pa.RecordBatch] = []
+
+    def merge():
+        a, b = _stars(*(np.concatenate([x.column(k).to_numpy() for x in waiting]) for k in (0, 1)))
+        waiting.clear()
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        waiting.append(batch)
+        if sum(x.num_rows for x in waiting) >= EDGES:
+            yield merge()
+    if waiting:
+        yield merge()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest node reachable from each node of undirected edges (a, b): rows (node, component).
 
-    Alternates the large-star and small-star steps until the edges stay the same, so the number of rounds grows
-    with the logarithm of the longest chain. Each round is written to the shared folder, which cuts the lineage
-    and survives lost executors; minima are combined before the shuffle, and a join with a hot node has one row
-    on its other side, so adaptive execution can split it. Nodes without edges are not returned. Null ends and
-    loops are ignored; repeated edges count once; an empty table gives an empty one.
+    Tasks reduce the edges they hold to stars. Then a link of a node moves on: to the smallest node beside its end, or, if
+    the node has a smaller link, from the node to that one's end; until each node has one link, to a node that has none.
+    Every move takes a link to smaller nodes and none is added, so this ends, and what is left of a chain is halved by each
+    round. A round has one shuffle, that of the nodes, whose minima are combined before it; links stay where they lie, as
+    nodes that are not done are stored and broadcast once they are few (until then adaptive execution can split a hot
+    one). Rounds are written to the shared folder, which cuts the lineage and survives lost executors. Nodes without edges are not
+    returned. Null ends and loops are ignored; repeated edges count once; an empty table gives an empty one.
     """
-    ends = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), (F.col("a") != F.col("b")).alias("apart"))
-    stars = stash(ends.where("apart").select("a", "b").distinct())
-    before = None
+    ends = edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"), (F.col("a") != F.col("b")).alias("apart"))
+    links = stash(ends.where("apart").select("a", "b").mapInArrow(_merged, "a long, b long"))
     while True:
-        state = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            break
-        before = state
-        both = stars.selectExpr("a AS u", "b AS v").union(stars.selectExpr("b AS u", "a AS v"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.selectExpr("a", "m AS b"))
-        stars = stash(small.distinct())
-    roots = stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+        sides = links.select(F.explode(F.expr("array(struct(a AS node, b AS low, b AS high, false AS end), struct(b AS node, null AS low, null AS high, true AS end))")).alias("s"))
+        nodes = sides.select("s.*").groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("end").alias("end"))
+        undone = stash(nodes.where("low < high OR (low IS NOT NULL AND end)").select("node", "low"))
+        if undone.isEmpty():
+            return nodes.select("node", F.coalesce("low", "node").alias("component"))
+        beside = links.join(undone.selectExpr("node AS a", "low AS low_a"), "a", "left").join(undone.selectExpr("node AS b", "low AS low_b"), "b", "left")
+        moved = beside.select(F.expr("if(low_a < b, struct(b AS a, low_a AS b), struct(a, coalesce(low_b, b) AS b))").alias("m")).select("m.*")
+        links = stash(moved.mapInArrow(_merged, "a long, b long"))

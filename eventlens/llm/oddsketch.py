@@ -131,7 +131,7 @@ def _set_key(hashes: np.ndarray) -> str:
 
 
 def _sets(wanted: DataFrame, docs: DataFrame, words_in: int) -> DataFrame:
-    """(rep, hashes binary) of the wanted classes (rep, doc_id, set_key), made again from the text of one of their documents.
+    """(rep, hashes array<long>) of the wanted classes (rep, doc_id, set_key), made again from the text of one of their documents.
 
     The list grows with the corpus, so it is never broadcast: texts and ids meet in one shuffle. Where an id has several
     texts, the key of the set says which is meant; of equal rows one is taken.
@@ -139,11 +139,11 @@ def _sets(wanted: DataFrame, docs: DataFrame, words_in: int) -> DataFrame:
 
     def made(batches):
         for b in batches:
-            found = [(rep, h.tobytes()) for rep, key, x in zip(b.column("rep").to_pylist(), b.column("set_key").to_pylist(), b.column("text")) if _set_key(h := shingles(x.as_py(), words_in)) == key]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["rep", "hashes"])
+            found = [(rep, h.view(np.int64)) for rep, key, x in zip(b.column("rep").to_pylist(), b.column("set_key").to_pylist(), b.column("text")) if _set_key(h := shingles(x.as_py(), words_in)) == key]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["rep", "hashes"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text()).join(wanted.hint("merge"), "doc_id").select("rep", "set_key", "text")
-    return texts.mapInArrow(made, "rep long, hashes binary").groupBy("rep").agg(F.min("hashes").alias("hashes"))
+    return texts.mapInArrow(made, "rep long, hashes array<long>").groupBy("rep").agg(F.min("hashes").alias("hashes"))
 
 
 def _reach(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -153,26 +153,19 @@ def _reach(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of candidate pairs (a, b) those whose full sets reach the similarity."""
-    both = pairs.join(sets.selectExpr("rep AS a", "hashes AS ha"), "a").join(sets.selectExpr("rep AS b", "hashes AS hb"), "b")
-
-    def check(batches):
-        for b in batches:
-            keep = [_reach(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(b.column("ha"), b.column("hb"))]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "ha", "hb").mapInArrow(check, "a long, b long")
+    both = pairs.join(sets.selectExpr("rep AS a", "hashes AS ha"), "a").join(sets.selectExpr("rep AS b", "hashes AS hb"), "b").withColumn("common", F.expr("size(array_intersect(ha, hb))"))
+    return both.where(f"100L * common >= {percent}L * (size(ha) + size(hb) - common)").select("a", "b")
 
 
 def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) across components among (band, value, rep, n, sketch, comp) rows that share a bucket.
+    """Links (a, b) across components among (low, rep, n, sketch, comp) rows that share a bucket; ``low`` is the bucket's smallest rep.
 
     Buckets that share a member form one crowd, so that each member and its set goes to one place, not to one for each
     band. A crowd is cut into blocks by hash, of about ``BLOCK`` members; a member goes to all block pairs of its
     block. A task sees two blocks, compares sketches and then sets, and sends on links between different components
     only, one for each pair of components it has not yet joined itself.
     """
-    low = members.groupBy("band", "value").agg(F.min("rep").alias("low"))
-    crowds = components(members.join(low, ["band", "value"]).select(F.col("rep").alias("a"), F.col("low").alias("b"))).selectExpr("node AS rep", "component AS crowd")
+    crowds = components(members.selectExpr("rep AS a", "low AS b")).selectExpr("node AS rep", "component AS crowd")
     one = members.groupBy("rep").agg(F.min(F.struct("n", "sketch", "comp")).alias("m")).selectExpr("rep", "m.n AS n", "m.sketch AS sketch", "m.comp AS comp").join(crowds, "rep")
     one = stash(one)
     size = one.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
@@ -185,7 +178,7 @@ def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         own = t.column("own").to_numpy()
         comp, rep, n = (t.column(c).to_numpy() for c in ("comp", "rep", "n"))
         sketch = np.array(t.column("sketch").to_pylist(), np.int64).reshape(-1, SKETCH_WORDS).view(np.uint64)
-        sets_here = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("hashes")]
+        sets_here = [x.values.to_numpy() for x in t.column("hashes")]
         joined: dict[int, int] = {}
 
         def root(c: int) -> int:
@@ -237,10 +230,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words_in: int = 5) -> Da
     # What is left: classes other than the centre, in buckets where those lie in more than one component.
     rest = (met.where("rep <> centre AND size > 2").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
             .select("band", "value", "rep", "n", "sketch", F.coalesce("component", "rep").alias("comp")))
-    mixed = rest.groupBy("band", "value").agg((F.min("comp") < F.max("comp")).alias("mixed")).where("mixed").select("band", "value")
-    members = stash(rest.join(mixed, ["band", "value"], "left_semi"))
-    if members.limit(1).count():
-        comp = stash(components(edges.union(stash(_rest(members, sets, percent)))))
+    mixed = rest.groupBy("band", "value").agg((F.min("comp") < F.max("comp")).alias("mixed"), F.min("rep").alias("low")).where("mixed").select("band", "value", "low")
+    members = stash(rest.join(mixed, ["band", "value"]).select("low", "rep", "n", "sketch", "comp"))
+    if not members.isEmpty():
+        links = stash(_rest(members, sets, percent))
+        if not links.isEmpty():
+            comp = stash(components(comp.selectExpr("node AS a", "component AS b").union(links)))
     rooted = classes.select("set_key", "rep", "doc_id").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", "doc_id", F.coalesce("component", "rep").alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("_comp"))
     found = rooted.join(least, "root").select("set_key", "_comp")
