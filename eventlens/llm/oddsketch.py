@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words_in: int = 5) -> Da
     # What is left: classes other than the centre, in buckets where those lie in more than one component.
     rest = (met.where("rep <> centre AND size > 2").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
             .select("band", "value", "rep", "n", "sketch", F.coalesce("component", "rep").alias("comp")))
-    mixed = rest.groupBy("band", "value").agg((F.min("comp") < F.max("comp")).alias("mixed"), F.min("rep").alias("low")).where("mixed").select("band", "value", "low")
+    mixed = stash(rest.groupBy("band", "value").agg((F.min("comp") < F.max("comp")).alias("mixed"), F.min("rep").alias("low")).where("mixed").select("band", "value", "low"))
     members = stash(rest.join(mixed, ["band", "value"]).select("low", "rep", "n", "sketch", "comp"))
     if not members.isEmpty():
         links = stash(_rest(members, sets, percent))
