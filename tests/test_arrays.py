@@ -7,8 +7,9 @@ import random
 import pytest
 from conftest import small_log
 
-from eventlens.sources import readers
-from eventlens.sources.arrays import array_elements, pieces, split_states
+from eventlens.plans.stash import setting
+from eventlens.sources import arrays, readers
+from eventlens.sources.arrays import array_elements, pieces, several_splits, split_states
 
 
 @pytest.fixture()
@@ -122,3 +123,53 @@ def test_gzip_and_the_line_form(small_splits, tmp_path):
         got = readers.scan_json_array(small_splits, str(tmp_path / name)).drop("file")
         assert got.schema == want.schema
         assert [sorted(str(r).replace(" ", "") for r in x.collect()) for x in (got,)] == [sorted(str(r).replace(" ", "") for r in want.collect())]
+
+
+def test_files_of_one_split_are_read_once_and_nothing_is_stored(spark, tmp_path, monkeypatch):
+    def refuse(*args):
+        raise AssertionError("more than one reading")
+
+    rng = random.Random(11)
+    every = []
+    for k in range(6):
+        want = [{"f": k, "v": [random_value(rng) for _ in range(3)]} for _ in range(rng.randrange(90))] + [k, [k]]
+        with (gzip.open if k % 2 else open)(tmp_path / f"a [{k}] é%20.json{'.gz' * (k % 2)}", "wt", encoding="utf-8") as f:
+            json.dump(want, f, indent=rng.choice([None, 1]))
+        every += want
+    assert not several_splits(pieces(spark, str(tmp_path)))
+    monkeypatch.setattr(arrays, "stash", refuse)
+    monkeypatch.setattr(arrays, "split_states", refuse)
+    found = array_elements(spark, str(tmp_path))
+    same([r.value for r in found.collect()], every)
+    assert found.select("file").distinct().count() == 6
+
+
+def test_one_split_or_several_give_the_same_elements(spark, tmp_path):
+    rng = random.Random(12)
+    odd = ["", "[]", "[", "[1, 2]", "[{}", "[{},", '[{"a":"}"}\n,{"b":1}\n]', '[{"a":\n1}, 5,\r\n{"b":2}, [3]\n]', '["}", {"a":2}, "{"]', '[{"a":1},,{"b":1}]', '{"a":1}\n{"b":2}\n', "no JSON"]
+    for k in range(40):
+        text = json.dumps([{"f": k, "x": random_value(rng)} if rng.random() < 0.7 else random_value(rng) for _ in range(50)], indent=rng.choice([None, 1]))
+        odd.append(text[:rng.randrange(len(text))] if k % 2 else text + rng.choice(["", "\n", " tail", ' {"more": 1}']))
+    for k, text in enumerate(odd):
+        (tmp_path / f"{k}.json").write_text(text)
+    whole = sorted((r.file, r.value or "") for r in array_elements(spark, str(tmp_path)).collect())
+    with setting(spark, "spark.sql.files.maxPartitionBytes", "500"), setting(spark, "spark.sql.files.openCostInBytes", "1"):
+        assert several_splits(pieces(spark, str(tmp_path)))
+        assert sorted((r.file, r.value or "") for r in array_elements(spark, str(tmp_path)).collect()) == whole
+
+
+def test_arrays_are_cut_and_parsed_once(spark, tmp_path):
+    with gzip.open(tmp_path / "a.json.gz", "wt") as f:
+        json.dump(small_log(), f)
+    events = readers.scan_json_array(spark, str(tmp_path))
+    plan = events.groupBy("Event").count()._jdf.queryExecution().toString()
+    assert "from_json" not in plan and "MapInArrow" not in plan and "ReadSchema: struct<Event:string>" in plan
+    assert events.where("Event IS NOT NULL").count() == len(small_log())
+
+
+def test_blank_lines_are_not_measured(spark, tmp_path):
+    (tmp_path / "a").write_text('{"Event": "x"}\n\n   \n{"Event": "y"}\n')
+    lines = readers.scan_lines(spark, str(tmp_path))
+    parsed = readers.parse_lines(lines)
+    assert "length" not in parsed._jdf.queryExecution().optimizedPlan().toString() and "length" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.Event for r in parsed.collect()) == ["x", "y"]
