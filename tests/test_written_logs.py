@@ -110,3 +110,11 @@ def test_wide_events_are_written_without_a_sort(spark, tmp_path, monkeypatch):
     assert seen == [sinks.OPEN_FILES[1]] * 2 and spark.conf.get(key, None) == before
     # also with more folders than open files
     assert spark.read.json(str(tmp_path / "json")).groupBy("app_id").count().count() == 40 and spark.read.parquet(str(tmp_path / "parquet")).count() == 60
+
+
+def test_arrays_of_a_mixed_folder_are_parsed_once(spark, tmp_path, tables_of_apps):
+    path = logs.write_events(spark, tables_of_apps, str(tmp_path / "mixed"), arrays="app_id < 'app-4'", only="app_id IS NOT NULL")
+    events = readers.scan_events(spark, path)
+    plan = tables.tasks(tables.attach_app_ids(events))._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "MapInArrow" not in plan
+    assert events.where("Event IS NOT NULL").count() == logs.event_lines(spark, tables_of_apps).where("app_id IS NOT NULL").count()
